@@ -12,6 +12,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.toxicity import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """labels has no page ids of its own: its ids are taken as those of pages. Bad: low quality or toxic."""
     from graphloom.llm.url_filter import Rule, judge_urls
@@ -21,6 +27,12 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), outcomes, rules)
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.pieces import default_model, encoding_digests
+
+    return encoding_digests(_table(spark, sf_dir, "documents"), default_model())
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.exact_dedup import exact_dedup
 
@@ -39,8 +51,14 @@ def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_events(_table(spark, sf_dir, "conversations"))
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.topk import search
+
+    return search(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_filter, op6_exact_dedup, op7_mix_sources, op9_tool_calls)}
+    return {f.__name__: f for f in (op2_toxicity, op3_url_filter, op4_sentencepiece, op6_exact_dedup, op7_mix_sources, op9_tool_calls, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
