@@ -12,6 +12,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.hmm import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.toxicity import score_documents
 
@@ -58,7 +64,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_url_filter, op4_sentencepiece, op6_exact_dedup, op7_mix_sources, op9_tool_calls, op10_top_k)}
+    return {f.__name__: f for f in (op1_hidden_markov, op2_toxicity, op3_url_filter, op4_sentencepiece, op6_exact_dedup, op7_mix_sources, op9_tool_calls, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
