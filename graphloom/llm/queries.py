@@ -39,6 +39,12 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(_table(spark, sf_dir, "documents"), default_model())
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.repeats import repeated_spans
+
+    return repeated_spans(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.exact_dedup import exact_dedup
 
@@ -64,7 +70,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hidden_markov, op2_toxicity, op3_url_filter, op4_sentencepiece, op6_exact_dedup, op7_mix_sources, op9_tool_calls, op10_top_k)}
+    return {f.__name__: f for f in (op1_hidden_markov, op2_toxicity, op3_url_filter, op4_sentencepiece, op5_repeats, op6_exact_dedup, op7_mix_sources, op9_tool_calls, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
