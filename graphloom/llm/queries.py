@@ -57,6 +57,12 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.jaccard import similar_classes
+
+    return similar_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")
+
+
 def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.tool_calls import conversation_events
 
@@ -70,7 +76,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hidden_markov, op2_toxicity, op3_url_filter, op4_sentencepiece, op5_repeats, op6_exact_dedup, op7_mix_sources, op9_tool_calls, op10_top_k)}
+    return {f.__name__: f for f in (op1_hidden_markov, op2_toxicity, op3_url_filter, op4_sentencepiece, op5_repeats, op6_exact_dedup, op7_mix_sources, op8_jaccard_join, op9_tool_calls, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
