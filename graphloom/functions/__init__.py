@@ -1 +1 @@
-
+"""RDF terms as columns, and expressions over them."""

@@ -1 +1 @@
-
+"""Logical algebra and its rewrites."""

@@ -1 +1 @@
-
+"""Federation members: sources seen as graphs."""
