@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+import sys
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Words are maximal runs of anything but these bytes; bytes.split() without arguments uses the same six.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Cells that a hot key is spread over. Only keys with many rows fill more than a few of them.
@@ -75,11 +79,11 @@ def with_group(df: DataFrame, key: str, row: str, aggs: dict[str, tuple[str, str
     return cells.join(back, keys).drop("_salt")
 
 
-def word_lists(texts) -> list[list[bytes]]:
-    """Lower-cased words (A-Z only) of an Arrow string column; a null has none."""
-    import pyarrow as pa
-
-    return [(t or b"").lower().split() for t in texts.cast(pa.large_binary()).to_pylist()]
+def slices(batches, rows: int = 500):
+    """Record batches of fewer rows, so that what is made of a batch's texts stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
 
 
 def words_of(text: str | None) -> list[str]:

@@ -22,7 +22,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import discard, with_group, written
+from graphloom.llm.common import discard, slices, with_group, written
 from graphloom.llm.components import components
 from graphloom.llm.repeats import release
 
@@ -85,7 +85,7 @@ def _sketched(batches):
     import xxhash
 
     factors = _factors()
-    for b in batches:
+    for b in slices(batches):
         sets = [shingles(t) for t in b.column("text").cast(pa.large_binary()).to_pylist()]
         digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
         known: dict[bytes, bytes] = {}
@@ -165,11 +165,9 @@ def _survivors(batches):
 
 
 def _shingled(batches):
-    for b in batches:
-        texts = b.column("text").cast(pa.large_binary()).to_pylist()
-        for i in range(0, len(texts), 500):
-            sets = [shingles(t).tobytes() for t in texts[i : i + 500]]
-            yield pa.RecordBatch.from_arrays([b.column("uid").slice(i, 500), b.column("size").slice(i, 500), pa.array(sets, pa.binary())], ["uid", "size", "found"])
+    for b in slices(batches):
+        sets = [shingles(t).tobytes() for t in b.column("text").cast(pa.large_binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("size"), pa.array(sets, pa.binary())], ["uid", "size", "found"])
 
 
 def _verified(batches):
