@@ -118,6 +118,8 @@ def _compare(op: str) -> Callable[[Term, Term], Term]:
     }[op]
 
     def run(a: Term, b: Term) -> Term:
+        if "none" in (a.desc.kind, b.desc.kind):
+            return _bool(F.lit(None).cast("boolean"))
         if a.numeric and b.numeric:
             return _bool(act(a.col, b.col))
         for dt in (T.BOOLEAN, T.DATE, T.DATE_TIME):
@@ -368,7 +370,7 @@ def _rounding(f: Callable[[Column], Column]) -> Callable[[Term], Term]:
 
 def _negative(t: Term) -> Term:
     got = number(t)
-    return Term(literal(_RANKS[got[1]]), -got[0]) if got else Term(literal(_RANKS[2]), F.lit(None).cast("double"))
+    return Term(literal(_RANKS[got[1]]), F.negate(got[0])) if got else Term(literal(_RANKS[2]), F.lit(None).cast("double"))
 
 
 def _absolute(t: Term) -> Term:

@@ -31,7 +31,7 @@ LIST, MAP = CDT + "List", CDT + "Map"
 class Desc:
     """What is known of a column's terms."""
 
-    kind: str  # iri bnode lit triple dyn
+    kind: str  # iri bnode lit triple dyn; none: never bound
     dt: str = ""
     lang: str = ""
     template: tuple[str, str] | None = None  # what stands before and after the key
@@ -39,7 +39,7 @@ class Desc:
     opaque: bool = False  # a literal of a type without native form: the lexical form
 
 
-PLAIN_IRI, BLANK, DYN = Desc("iri"), Desc("bnode"), Desc("dyn")
+PLAIN_IRI, BLANK, DYN, UNBOUND = Desc("iri"), Desc("bnode"), Desc("dyn"), Desc("none")
 
 
 def literal(dt: str, lang: str = "") -> Desc:
@@ -64,7 +64,7 @@ class Term:
         return self.desc.kind == "lit" and self.desc.dt == dt and not self.desc.opaque
 
 
-NULL = Term(literal(STRING), F.lit(None).cast("string"))
+NULL = Term(UNBOUND, F.lit(None).cast("string"))
 
 
 def constant(x: Iri | Lit) -> Term:
@@ -137,6 +137,8 @@ def dynamic(t: Term) -> Column:
     d = t.desc
     if d.kind == "dyn":
         return t.col
+    if d.kind == "none":
+        return F.lit(None).cast(DYNAMIC)
     k = {"iri": IRI, "bnode": BNODE, "lit": LITERAL, "triple": TRIPLE}[d.kind]
     v = lexical(t)
     return F.when(v.isNotNull(), F.struct(F.lit(k).cast("tinyint").alias("k"), v.alias("v"), F.lit(d.dt).alias("dt"), F.lit(d.lang).alias("lang")))
@@ -164,7 +166,7 @@ def _apart(a: tuple[str, str], b: tuple[str, str]) -> bool:
 
 def disjoint(a: Desc, b: Desc) -> bool:
     """Whether no term can be of both kinds."""
-    if "dyn" in (a.kind, b.kind):
+    if "dyn" in (a.kind, b.kind) or "none" in (a.kind, b.kind):
         return False
     if a.kind != b.kind:
         return True
@@ -177,6 +179,8 @@ def same(a: Term, b: Term) -> Column | None:
     """Term equality as a condition; None if it cannot hold."""
     if disjoint(a.desc, b.desc):
         return None
+    if "none" in (a.desc.kind, b.desc.kind):
+        return F.lit(None).cast("boolean")
     if a.desc == b.desc and a.desc.kind != "triple":
         return a.col == b.col
     if a.desc.kind == b.desc.kind == "iri":
@@ -214,6 +218,7 @@ def is_constant(t: Term, x) -> Column | bool:
 
 def aligned(descs: list[Desc]) -> Desc:
     """The one description under which terms of all these can stand together."""
+    descs = [d for d in descs if d.kind != "none"] or descs[:1]
     if all(d == descs[0] for d in descs) and descs[0].kind != "triple":
         return descs[0]
     if all(d.kind == "iri" for d in descs):
@@ -225,13 +230,15 @@ def as_(t: Term, d: Desc) -> Column:
     """t's column under another description, one that aligned() gave."""
     if t.desc == d:
         return t.col
+    if t.desc.kind == "none":
+        return null_of(d)
     if d.kind == "iri":
         return iri_string(t)
     return dynamic(t)
 
 
 def null_of(d: Desc) -> Column:
-    types = {"dyn": DYNAMIC}
+    types = {"dyn": DYNAMIC, "none": "string"}
     return F.lit(None).cast(types.get(d.kind, "void"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from graphloom.plans.algebra import OWL, RDFS
-from graphloom.sources.views import Member, TableSpec, table_member
+from graphloom.sources.views import Member, SingleMember, TableSpec, table_member
 from graphloom.sources.vocabulary import Rule, Vocabulary
 
 EX = "http://ex.org/"
@@ -75,5 +75,6 @@ def federation(spark: SparkSession, sf_dir: str) -> Federation:
     makers[f"{EX}m/tpch"] = lambda: member(spark, sf_dir, "region", "nation", "customer", "supplier", "part", "orders", "lineitem")
     makers[f"{EX}m/geo"] = lambda: member(spark, sf_dir, "region", "nation")
     makers[f"{EX}m/geo-global"] = lambda: member(spark, sf_dir, "region", "nation", vocabulary=VOCABULARY)
+    makers[f"{EX}m/supplier-single"] = lambda: SingleMember(member(spark, sf_dir, "supplier").views)
     makers[f"{EX}m/docs"] = lambda: member(spark, sf_dir, "documents", "labels")
     return Federation(makers)
