@@ -17,6 +17,7 @@ import sys
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import written
+from graphloom.llm.common import slices, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -35,7 +36,7 @@ ITERATIONS = 4
 #: Pseudo-count of an unseen word, and the tokens that a state borrows from the corpus distribution.
 DELTA, BORROWED = 0.1, 500.0
 #: Tokens of a segment, segments worked on at a time, and steps between rescalings of transfer matrices.
-SEGMENT, TOGETHER, RESCALE = 128, 1024, 16
+SEGMENT, TOGETHER, RESCALE = 256, 1024, 16
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 400_000
 
@@ -72,9 +73,9 @@ class Segments:
         self.by_place = np.argsort(self.place, kind="stable")
         self.place_ends = np.cumsum(np.bincount(self.place)) if len(self.place) else np.zeros(0, int)
 
-    def groups(self):
-        """Segments to work on together, longest first; with how many of them reach each step."""
-        order = np.argsort(-self.length, kind="stable")
+    def groups(self, which: np.ndarray | None = None):
+        """Segments (all, or those named) to work on together, longest first; with how many reach each step."""
+        order = np.argsort(-self.length, kind="stable") if which is None else which[np.argsort(-self.length[which], kind="stable")]
         for i in range(0, len(order), TOGETHER):
             at = order[i : i + TOGETHER]
             reach = np.searchsorted(-self.length[at], -np.arange(self.length[at[0]]), side="left")
@@ -86,10 +87,25 @@ class Segments:
         return self.symbols[np.minimum(where, len(self.symbols) - 1)]
 
     def transfer(self, model: Model) -> tuple[np.ndarray, np.ndarray]:
-        """(matrices scaled to a largest entry of 1, natural logs of their scales) of all segments."""
+        """(matrices scaled to a largest entry of 1, natural logs of their scales) of all segments.
+
+        A first segment is entered in the start state only, so it needs that one row, which stands in all of
+        its matrix's rows.
+        """
         k = len(model.start)
         out, logs = np.empty((len(self.text), k, k)), np.zeros(len(self.text))
-        for at, reach in self.groups():
+        for at, reach in self.groups(np.flatnonzero(self.place == 0)):
+            b = model.emit[self.taken(at, len(reach))]
+            state = np.broadcast_to(model.start, (len(at), k)).copy()
+            scale = np.zeros(len(at))
+            for t, n in enumerate(reach):
+                state[:n] = (state[:n] @ model.move) * b[t, :n]
+                if t % RESCALE == RESCALE - 1 or t == len(reach) - 1:
+                    top = state.max(axis=1)
+                    state /= top[:, None]
+                    scale += np.log(top)
+            out[at], logs[at] = state[:, None, :], scale
+        for at, reach in self.groups(np.flatnonzero(self.place > 0)):
             b = model.emit[self.taken(at, len(reach))]
             m = np.broadcast_to(np.eye(k), (len(at), k, k)).copy()
             scale = np.zeros(len(at))
@@ -132,10 +148,10 @@ class Segments:
             at = self.by_place[self.place_ends[j - 1] if j else 0 : self.place_ends[j]]
             who = self.text[at]
             leaving[at] = back[who]
+            if not j:
+                break
             new = np.einsum("sij,sj->si", transfer[at], back[who])
             back[who] = new / new.sum(axis=1)[:, None]
-        posterior = model.start * back
-        started += (posterior / posterior.sum(axis=1)[:, None]).sum(axis=0)
         for at, reach in self.groups():
             steps = len(reach)
             symbols = self.taken(at, steps)
@@ -157,6 +173,8 @@ class Segments:
                 gamma[t, :n] = alpha[t + 1, :n] * beta[:n]
                 weight[t, :n] = b[t, :n] * beta[:n] / scale[t, :n, None]
                 beta[:n] = weight[t, :n] @ turned
+            head = self.place[at] == 0
+            started += (model.start * beta[head]).sum(axis=0)
             moved += model.move * (alpha[:-1].reshape(-1, k).T @ weight.reshape(-1, k))
             flat = symbols.ravel()
             for i in range(k):
@@ -176,7 +194,7 @@ def _counted(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
         counts.clear()
 
-    for b in batches:
+    for b in slices(batches):
         for t in b.column("text").cast(pa.large_binary()).to_pylist():
             counts.update((t or b"").lower().split())
             texts += 1
@@ -191,45 +209,39 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(_counted, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _bucket(word: bytes) -> int:
-    return HEAD + zlib.crc32(word) % TAIL
-
-
-class Encoder:
-    """Symbols of texts, and their rare words with how often each occurs."""
-
-    def __init__(self, head: dict[bytes, int]):
-        self.head = head
-
-    def __call__(self, text: bytes | None) -> tuple[list[int], list[bytes], list[int]]:
-        words = (text or b"").lower().split()
-        ids = list(map(self.head.get, words))
-        rare: Counter = Counter()
-        if None in ids:
-            for i, x in enumerate(ids):
-                if x is None:
-                    w = words[i]
-                    rare[w] += 1
-                    ids[i] = _bucket(w)
-        ids.append(END)
-        return ids, list(rare), list(rare.values())
+def encoded_texts(texts: list[bytes | None], head: dict[bytes, int]) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """(symbols, rare words, how often each occurs) of each text, as lists."""
+    lists = [(t or b"").lower().split() for t in texts]
+    lengths = np.array([len(x) for x in lists])
+    words = list(chain.from_iterable(lists))
+    ids = np.fromiter(map(head.get, words, repeat(-1)), np.int32, len(words))
+    at = np.flatnonzero(ids < 0)
+    rare = [words[i] for i in at.tolist()]
+    ids[at] = HEAD + np.fromiter(map(zlib.crc32, rare), np.int64, len(rare)) % TAIL
+    ends = np.cumsum(lengths)
+    symbols = np.insert(ids, ends, END)  # an end after each text's words
+    offsets = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]).astype(np.int32)
+    cuts = np.searchsorted(at, np.concatenate([[0], ends])).tolist()
+    counters = [Counter(rare[i:j]) for i, j in zip(cuts, cuts[1:])]
+    spans = pa.array(np.concatenate([[0], np.cumsum([len(c) for c in counters])]).astype(np.int32))
+    found = pa.array(list(chain.from_iterable(counters)), pa.binary()).cast(pa.string())
+    times = pa.array(list(chain.from_iterable(c.values() for c in counters)), pa.int32())
+    lists_of = pa.ListArray.from_arrays
+    return lists_of(pa.array(offsets), pa.array(symbols.astype(np.int32))), lists_of(spans, found), lists_of(spans, times)
 
 
 def _encoded(shared):
     def run(batches):
-        encode = Encoder(shared.value)
-        for b in batches:
+        head = shared.value
+        for b in slices(batches):
             texts = b.column("text").cast(pa.large_binary()).to_pylist()
-            for i in range(0, len(texts), 1000):
-                ids, words, times = zip(*map(encode, texts[i : i + 1000]), strict=True)
-                rare = pa.array(words, pa.list_(pa.binary()))
-                kept = [b.column(c).slice(i, 1000) for c in ("doc_id", "held_out")]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(ids, pa.list_(pa.int32())), rare.cast(pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32()))], ["doc_id", "held_out", "ids", "rare", "times"])
+            kept = [b.column(c) for c in ("doc_id", "held_out")]
+            yield pa.RecordBatch.from_arrays([*kept, *encoded_texts(texts, head)], ["doc_id", "held_out", "ids", "rare", "times"])
 
     return run
 
 
-def _pieces(batch: pa.RecordBatch, most: int = 2_000_000):
+def _pieces(batch: pa.RecordBatch, most: int = 1_000_000):
     """(first row, symbols, offsets) of runs of rows with about `most` symbols at most, longer texts alone."""
     column = batch.column("ids")
     offsets = column.offsets.to_numpy().astype(np.int64)
@@ -267,7 +279,8 @@ def train(encoded: DataFrame, frequency: np.ndarray, states: int = STATES, itera
     columns = [f"s{i}" for i in range(states)]
     for _ in range(iterations):
         shared = spark.sparkContext.broadcast(model)  # SYMBOLS * STATES numbers
-        found = encoded.select("ids").mapInArrow(_expected(shared), ", ".join(["symbol int", *(f"{c} double" for c in columns)]))
+        # as many partitions as run at once, twice over: each sends all of its symbols' counts once
+        found = encoded.select("ids").coalesce(2 * spark.sparkContext.defaultParallelism).mapInArrow(_expected(shared), ", ".join(["symbol int", *(f"{c} double" for c in columns)]))
         sums = found.groupBy("symbol").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()
         shared.unpersist()
         values, key = sums[columns].to_numpy(), sums["symbol"].to_numpy()
