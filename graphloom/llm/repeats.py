@@ -8,7 +8,9 @@ about 37 is sorted. From there on, as in prefix doubling, positions whose rank i
 1. Sampled positions are sorted by the rank pair (rank of the GRAM bytes, rank of all bytes of the windows that
    they represent). A pair that stands earlier too removes all of its windows; a GRAM that is unique drops out.
 2. What is left (equal GRAMs in different surroundings: the edges of repeats) goes to the full length: each
-   window by itself, under the rank pair of its halves, rank50(i) and rank50(i + 50).
+   window by itself, under the rank pair of its halves, rank50(i) and rank50(i + 50). Rows sorted by GRAM bring
+   the bytes of their windows along, and a task ranks those of one GRAM together; GRAMs of more than CLASS
+   rows are spread by rank pair instead, salted.
 
 Within a task's batch, pairs that occur twice are settled at once, so a hot pair sends one row per batch.
 """
@@ -24,13 +26,15 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import with_group, written
+from graphloom.llm.common import discard, slices, with_group, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Bytes of a repeat; bytes of a representative; representatives that a window can choose from.
 LENGTH, GRAM = 100, 28
 CHOICE = LENGTH - GRAM + 1
+#: Rows of a GRAM that are compared in one task; more are spread, window by window.
+CLASS = 16384
 #: Bytes of text that are worked on at a time.
 WORK = 4_000_000
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -133,7 +137,7 @@ _MARKS = "gram long, whole long, id long, tag long, first int, last int, removed
 
 
 def _marked(batches):
-    for b in batches:
+    for b in slices(batches, 2000):
         ids, tags = b.column("id").to_numpy(), b.column("tag").to_numpy()
         for i, data, begins, ends in _buffers(b.column("text").cast(pa.large_binary()).to_pylist()):
             t, s0, s1, gram, whole = sampled(data, begins, ends)
@@ -146,28 +150,102 @@ def _marked(batches):
             head[1:] = (gram[1:] != gram[:-1]) | (whole[1:] != whole[:-1])
             lead = np.flatnonzero(head)[np.cumsum(head) - 1]
             later = (own > own[lead]) | ((own == own[lead]) & ((tag > tag[lead]) | ((tag == tag[lead]) & (s0 > s0[lead]))))
-            spread = mixed(own.astype(np.uint64) * np.uint64(_BASES[0]) + s0.astype(np.uint64))
-            gram = np.where(later, spread, gram)  # settled rows go anywhere
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(x.view(np.int64)) for x in (gram, whole)), pa.array(own), pa.array(tag), pa.array(s0.astype(np.int32)), pa.array(s1.astype(np.int32)), pa.array(later)],
-                ["gram", "whole", "id", "tag", "first", "last", "removed"],
-            )
+            # settled rows: neighbours in a text become one, and go anywhere
+            done = np.flatnonzero(later)[np.lexsort((s0[later], t[later]))]
+            new = np.ones(len(done), bool)
+            new[1:] = (t[done[1:]] != t[done[:-1]]) | (s0[done[1:]] != s1[done[:-1]] + 1)
+            i = np.flatnonzero(new)
+            j = np.append(i[1:], len(done)) - 1 if len(i) else i
+            spread = mixed(own[done[i]].astype(np.uint64) * np.uint64(_BASES[0]) + s0[done[i]].astype(np.uint64))
+            on = np.concatenate([np.flatnonzero(~later), done[i]])
+            last = np.concatenate([s1[~later], s1[done[j]]]).astype(np.int32)
+            gram = np.concatenate([gram[~later], spread])
+            columns = [gram.view(np.int64), whole[on].view(np.int64), own[on], tag[on], s0[on].astype(np.int32), last, later[on]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["gram", "whole", "id", "tag", "first", "last", "removed"])
+
+
+def _edges(batches):
+    """A row per run of windows, with the bytes that they cover."""
+    names = ["gram", "large", "id", "tag", "first", "last", "covered"]
+    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    for b in slices(batches):
+        rows = []
+        texts = b.column("text").cast(pa.large_binary()).to_pylist()
+        for own, tag, text, runs in zip(b.column("id").to_pylist(), b.column("tag").to_pylist(), texts, b.column("runs").to_pylist(), strict=True):
+            rows += [(r["gram"], r["large"], own, tag, r["first"], r["last"], text[r["first"] : r["last"] + LENGTH]) for r in runs]
+        made = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(m, t) for m, t in zip(made, types, strict=True)], names)
 
 
-def _windows(batches):
-    """A row per window of the given runs: the ranks of its two halves and where it stands."""
+def _ranked(edges: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, ...]:
+    """(rank of the first half, of the second half, id, tag, first byte) of all windows of some rows of _edges()."""
     half = LENGTH // 2
+    first, last = edges.column("first").to_numpy().astype(np.int64), edges.column("last").to_numpy().astype(np.int64)
+    data = np.frombuffer(b"".join(edges.column("covered").to_pylist()), np.uint8)
+    sizes = last - first + 1
+    begins = np.cumsum(sizes + LENGTH - 1) - sizes - LENGTH + 1
+    step = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at = step + np.repeat(begins, sizes)
+    a, c = (Ranks(data, base) for base in _BASES)
+    own, tag = (np.repeat(edges.column(n).to_numpy(), sizes) for n in ("id", "tag"))
+    return a.of(at, at + half), c.of(at + half, at + LENGTH), own, tag, step + np.repeat(first, sizes)
+
+
+def _later(left, right, own, tag, first) -> tuple[np.ndarray, np.ndarray]:
+    """(an order by rank pair and place, whether each of that order stands after the first of its rank pair)."""
+    order = np.lexsort((first, tag, own, right, left))
+    left, right, own, tag, first = (x[order] for x in (left, right, own, tag, first))
+    head = np.ones(len(left), bool)
+    head[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1])
+    lead = np.flatnonzero(head)[np.cumsum(head) - 1] if len(head) else np.zeros(0, int)
+    return order, (own > own[lead]) | ((own == own[lead]) & ((tag > tag[lead]) | ((tag == tag[lead]) & (first > first[lead]))))
+
+
+def _runs(at: np.ndarray, own, tag, first) -> tuple[np.ndarray, ...]:
+    """(id, tag, first byte of the first window, of the last) of the runs that windows `at` make in their rows."""
+    at = np.sort(at)
+    own, tag, first = own[at], tag[at], first[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (own[1:] != own[:-1]) | (tag[1:] != tag[:-1]) | (first[1:] != first[:-1] + 1)
+    i = np.flatnonzero(new)
+    j = np.append(i[1:], len(at)) - 1 if len(i) else i
+    return own[i], tag[i], first[i].astype(np.int32), first[j].astype(np.int32)
+
+
+def _settled_classes(batches):
+    """Runs of windows that stand earlier too, of rows of _edges() sorted by gram; a gram's rows are compared at once."""
+
+    def settled(edges: pa.Table):
+        left, right, own, tag, first = _ranked(edges)
+        order, later = _later(left, right, own, tag, first)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in _runs(order[later], own, tag, first)], ["id", "tag", "first", "last"])
+
+    pending: list[pa.RecordBatch] = []
     for b in batches:
-        texts, runs = b.column("text").cast(pa.large_binary()).to_pylist(), b.column("runs").to_pylist()
-        for own, tag, text, spans in zip(b.column("id").to_pylist(), b.column("tag").to_pylist(), texts, runs, strict=True):
-            data = np.frombuffer(text, np.uint8)
-            ranks = [Ranks(data, base) for base in _BASES]
-            spans = np.array([(s["first"], s["last"]) for s in spans])
-            sizes = spans[:, 1] - spans[:, 0] + 1
-            start = np.arange(sizes.sum()) + np.repeat(spans[:, 0] - np.cumsum(sizes) + sizes, sizes)
-            a, c = ranks[0].of(start, start + half), ranks[1].of(start + half, start + LENGTH)
-            n = len(start)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(np.full(n, own)), pa.array(np.full(n, tag)), pa.array(start.astype(np.int32))], ["left", "right", "id", "tag", "first"])
+        pending.append(b)
+        if sum(x.num_rows for x in pending) >= CLASS:
+            t = pa.Table.from_batches(pending).combine_chunks()
+            keys = t.column("gram").to_numpy()
+            cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
+            if cut:
+                yield settled(t.slice(0, cut))
+                pending = t.slice(cut).to_batches()
+    if pending:
+        yield settled(pa.Table.from_batches(pending).combine_chunks())
+
+
+def _windows(batches):
+    """A row per window of rows of _edges(), but of equal ones of a batch the first only; the others as runs."""
+    names = ["left", "right", "id", "tag", "first", "last", "removed"]
+    for b in batches:
+        left, right, own, tag, first = _ranked(b)
+        order, later = _later(left, right, own, tag, first)
+        on = order[~later]
+        open_ = [left[on].view(np.int64), right[on].view(np.int64), own[on], tag[on], first[on].astype(np.int32), first[on].astype(np.int32), np.zeros(len(on), bool)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in open_], names)
+        runs = _runs(order[later], own, tag, first)
+        none = np.zeros(len(runs[0]), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (none, none, *runs, np.ones(len(none), bool))], names)
 
 
 def spans_of(length: int, pieces: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -190,7 +268,7 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _cut(batches):
-    for b in batches:
+    for b in slices(batches):
         rows = []
         for text, pieces in zip(b.column("text").cast(pa.large_binary()).to_pylist(), b.column("pieces").to_pylist(), strict=True):
             text = text or b""
@@ -229,17 +307,28 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     later = F.col("removed") | (place > F.col("lead"))
     # of the leaders, those whose gram has another pair: some neighbour of their run differs
     alone = F.col("before").isNull() & (F.col("top") == F.col("whole"))
-    rows = rows.withColumn("top", F.max("whole").over(Window.partitionBy("gram")))
-    marks = rows.select("id", "tag", "first", "last", later.alias("removed"), (~alone).alias("edge")).filter("removed or edge")
-    marks = written(marks, "marks")
+    rows = rows.withColumn("top", F.max("whole").over(Window.partitionBy("gram"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("gram")))
+    gram = F.when(~later, F.col("gram"))
+    marks = rows.select(gram.alias("gram"), "id", "tag", "first", "last", later.alias("removed"), (~alone).alias("edge"), (F.col("n") > CLASS).alias("large")).filter("removed or edge")
+    marks = written(marks.drop("edge"), "marks")
     release(docs)
-    runs = marks.filter("not removed").groupBy(*key).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    runs = marks.filter("not removed").groupBy(*key).agg(F.collect_list(F.struct("first", "last", "gram", "large")).alias("runs"))
     texts = keyed.select("id", "tag", "text").dropDuplicates(key) if repeated else keyed.select("id", "tag", "text")
-    windows = texts.join(runs, key).mapInArrow(_windows, "left long, right long, id long, tag long, first int")
-    windows = windows.select(F.struct("left", "right").alias("ranks"), place.alias("place"), F.xxhash64("id", "tag", "first").alias("row"))
-    settled = with_group(windows, "ranks", "row", {"lead": ("min", "place")}).filter(F.col("place") > F.col("lead"))
-    settled = settled.select("place.id", "place.tag", "place.first", F.col("place.first").alias("last"))
-    settled = written(settled, "windows")
+    edges = texts.join(runs, key).mapInArrow(_edges, "gram long, large boolean, id long, tag long, first int, last int, covered binary")
+    edges = written(edges, "edges")
+    release(docs)
+    small = edges.filter("not large").repartition("gram").sortWithinPartitions("gram").mapInArrow(_settled_classes, "id long, tag long, first int, last int")
+    small = written(small, "small")
+    windows = edges.filter("large").mapInArrow(_windows, "left long, right long, id long, tag long, first int, last int, removed boolean")
+    windows = written(windows, "windows")
+    discard(edges)
+    release(docs)
+    open_ = windows.filter("not removed").select(F.struct("left", "right").alias("ranks"), place.alias("place"), F.xxhash64("id", "tag", "first").alias("row"))
+    spread = with_group(open_, "ranks", "row", {"lead": ("min", "place")}).filter(F.col("place") > F.col("lead")).select("place.*")
+    spread = spread.withColumn("last", F.col("first")).unionByName(windows.filter("removed").select("id", "tag", "first", "last"))
+    spread = written(spread, "spread")
+    discard(windows)
+    settled = small.unionByName(spread)
     release(docs)
     pieces = marks.filter("removed").select("id", "tag", "first", "last").unionByName(settled)
     pieces = pieces.groupBy(*key).agg(F.collect_list(F.struct("first", "last")).alias("pieces"))
