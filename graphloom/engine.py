@@ -82,7 +82,7 @@ class Engine:
             if isinstance(x, A.Var):
                 if x.name in rel.descs:
                     return rel.term(x.name)
-                return Term(T.BLANK, F.concat(F.lit(x.name + "-"), F.col("_row"))) if x.hidden else T.NULL
+                return Term(T.BLANK, F.concat(F.lit(x.name + "-"), F.col("_row"))) if x.hidden else T.null()
             return T.constant(x)
 
         made = []

@@ -40,7 +40,7 @@ class Compiler:
 
     def term(self, e) -> Term:
         if isinstance(e, A.Var):
-            return self.env.get(e.name, T.NULL)
+            return self.env.get(e.name, T.null())
         if isinstance(e, A.Const):
             return T.constant(e.term)
         if isinstance(e, A.Exists):
@@ -349,7 +349,7 @@ def _triple(s: Term, p: Term, o: Term) -> Term:
 
 
 def _part(i: int) -> Callable[[Term], Term]:
-    return lambda t: t.parts[i] if t.parts else T.NULL
+    return lambda t: t.parts[i] if t.parts else T.null()
 
 
 # ---- numbers, dates
@@ -485,7 +485,7 @@ def _in(c: Compiler, args) -> Term:
 def _coalesce(c: Compiler, args) -> Term:
     ts = [c.term(a) for a in args]
     if not ts:
-        return T.NULL
+        return T.null()
     d = T.aligned([t.desc for t in ts])
     return Term(d, F.coalesce(*[T.as_(t, d) for t in ts]))
 

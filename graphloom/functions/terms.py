@@ -64,7 +64,9 @@ class Term:
         return self.desc.kind == "lit" and self.desc.dt == dt and not self.desc.opaque
 
 
-NULL = Term(UNBOUND, F.lit(None).cast("string"))
+def null() -> Term:
+    """What nothing binds."""
+    return Term(UNBOUND, F.lit(None).cast("string"))
 
 
 def constant(x: Iri | Lit) -> Term:
@@ -75,7 +77,7 @@ def constant(x: Iri | Lit) -> Term:
     try:
         if x.dt in INTEGERS:
             n = int(x.value)
-            return Term(d, F.lit(n) if -(2**63) <= n < 2**63 else F.lit(decimal.Decimal(n)))
+            return Term(d, F.lit(n).cast("bigint") if -(2**63) <= n < 2**63 else F.lit(decimal.Decimal(n)))
         if x.dt == XSD + "decimal":
             return Term(d, F.lit(decimal.Decimal(x.value)).cast("decimal(38,18)"))
         if x.dt in (XSD + "double", XSD + "float"):

@@ -91,7 +91,7 @@ class Lowering:
         names = [n for n in member.params if n in given]
         keys = {}
         for n in names:
-            t = left.term(given[n]) if given[n] in left.descs else T.NULL
+            t = left.term(given[n]) if given[n] in left.descs else T.null()
             ok = t.col.isNotNull()
             if (dt := member.params[n][0]) and t.desc.kind == "lit" and dt != T.STRING and t.desc.dt != dt and not (t.numeric and dt in T.NUMERIC):
                 ok = F.lit(False)  # a value of another type is none

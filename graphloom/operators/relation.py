@@ -61,7 +61,7 @@ def unit(spark: SparkSession) -> Rel:
 
 def nothing(spark: SparkSession, variables) -> Rel:
     df = spark.range(0)
-    return made(df, {v: T.NULL for v in variables}, variables)
+    return made(df, {v: T.null() for v in variables}, variables)
 
 
 def _rel(df: DataFrame, terms: dict[str, Term], certain) -> Rel:
@@ -137,7 +137,7 @@ def left_join(left: Rel, right: Rel, condition: Callable[[dict[str, Term]], list
     mark = "__r"
     hard, soft = _matching(left, right, mark)
     if hard is None:
-        terms = left.env() | {v: T.NULL for v in right.descs if v not in left.descs}
+        terms = left.env() | {v: T.null() for v in right.descs if v not in left.descs}
         return _rel(left.df, terms, left.certain)
     if soft and not hard:
         var = next(v for v in left.descs if v in right.descs)
@@ -251,7 +251,7 @@ def distinct(rel: Rel) -> Rel:
 
 
 def project(rel: Rel, variables: list[str]) -> Rel:
-    terms = {v: rel.term(v) if v in rel.descs else T.NULL for v in variables}
+    terms = {v: rel.term(v) if v in rel.descs else T.null() for v in variables}
     return _rel(rel.df, terms, rel.certain & set(variables))
 
 

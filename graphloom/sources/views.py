@@ -77,14 +77,11 @@ def _scan(pairs: list[tuple[A.Triple, View]]) -> R.Rel | None:
     rows = pairs[0][1].rows
     binds: dict[str, Term] = {}
     conditions: list[Column] = []
-    graph = set()
     for t, view in pairs:
         if not (_match(view.s, t.s, binds, conditions) and _match(_predicate(view), t.p, binds, conditions) and _match(view.o, t.o, binds, conditions)):
             return None
         for x in (view.s, view.o, *([] if isinstance(view.p, str) else [view.p])):
             conditions += [p.col.isNotNull() for p in x.parts] if x.desc.kind == "triple" else [x.col.isNotNull()]
-        if view.graph is not None:
-            graph.add(view.graph)
     for k in rows.keys:
         binds[k] = Term(Desc("lit", T.STRING), F.col(k))
     unique = list({str(c): c for c in conditions}.values())
