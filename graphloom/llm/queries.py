@@ -79,5 +79,64 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_hidden_markov, op2_toxicity, op3_url_filter, op4_sentencepiece, op5_repeats, op6_exact_dedup, op7_mix_sources, op8_jaccard_join, op9_tool_calls, op10_top_k)}
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP3 = f"""
+WITH p AS (SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT page_id, {_LOWER.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+o AS (SELECT doc_id AS page_id, CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END AS bad FROM labels),
+h AS (SELECT host, count(*) AS n, sum(bad) AS k, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM u JOIN o USING (page_id) GROUP BY host),
+d AS (SELECT *, regexp_extract(name, '([^.]*\\.)?[^.]*$') AS domain, regexp_extract(name, '[^.]*$') AS suffix FROM h),
+b AS (SELECT (sum(k) + 1.0) / (sum(n) + 2) AS m FROM h),
+s1 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(m) AS m FROM d, b GROUP BY suffix),
+s2 AS (SELECT sum((k - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * m * (1 - m) * (n - 1)), 0) AS rho FROM s1),
+s3 AS (SELECT suffix, (k + w * m) / (n + w) AS m FROM s1, (SELECT CASE WHEN rho > 0 THEN least(1000, greatest(1, 1 / rho - 1)) ELSE 1000 END AS w FROM s2)),
+d1 AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY domain, suffix),
+d2 AS (SELECT domain, n, k, m FROM d1 JOIN s3 USING (suffix)),
+d3 AS (SELECT sum((k - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * m * (1 - m) * (n - 1)), 0) AS rho FROM d2),
+d4 AS (SELECT domain, (k + w * m) / (n + w) AS m FROM d2, (SELECT CASE WHEN rho > 0 THEN least(1000, greatest(1, 1 / rho - 1)) ELSE 1000 END AS w FROM d3)),
+h2 AS (SELECT host, n, k, m FROM d JOIN d4 USING (domain)),
+h3 AS (SELECT sum((k - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * m * (1 - m) * (n - 1)), 0) AS rho FROM h2),
+h4 AS (SELECT host, n, k + w * m AS a, n - k + w * (1 - m) AS c FROM h2, (SELECT CASE WHEN rho > 0 THEN least(1000, greatest(1, 1 / rho - 1)) ELSE 1000 END AS w FROM h3)),
+h5 AS (SELECT host, n, a / (a + c) AS rate, greatest(0, a / (a + c) - 1.645 * sqrt(a * c / ((a + c) ** 2 * (a + c + 1)))) AS low FROM h4),
+r AS (SELECT *, CASE
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM u)
+SELECT page_id, r.host, path, rule,
+    CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN low > 0.5 THEN 'block' ELSE 'allow' END AS verdict,
+    CAST(coalesce(n, 0) AS BIGINT) AS n_labelled, round(rate, 6) AS bad_rate, round(low, 6) AS bad_low
+FROM r LEFT JOIN h5 ON r.host = h5.host
+"""
+
+_OP6 = f"""
+WITH t AS (SELECT doc_id, sha256({_LOWER.format("coalesce(text, '')")}) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256 FROM t WINDOW w AS (PARTITION BY text_sha256)
+"""
+
+_OP9 = """
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+c AS (SELECT conv_id, turn, 'c' || conv_id || '-' || turn AS call_id, CAST(to_json({'length': length(text), 'query': text}) AS VARCHAR) AS args FROM t WHERE role = 'user'),
+a AS (SELECT conv_id, turn, 'c' || conv_id || '-' || (turn - 1) AS call_id, text FROM t WHERE role = 'assistant')
+SELECT c.conv_id, c.turn, c.call_id, 0 AS level, true AS valid, CASE WHEN a.text IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+    '{"arguments":' || args || ',"id":"' || c.call_id || '","name":"answer"' || CASE WHEN a.text IS NULL THEN ',"status":"unanswered"' ELSE ',"result":' || CAST(to_json(a.text) AS VARCHAR) || ',"status":"linked"' END || ',"valid":true}' AS json
+FROM c LEFT JOIN a ON c.call_id = a.call_id
+UNION ALL SELECT conv_id, turn, call_id, NULL, NULL, 'orphan result', '{"id":"' || call_id || '","result":' || CAST(to_json(text) AS VARCHAR) || ',"status":"orphan result"}'
+FROM a WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.call_id = a.call_id)
+UNION ALL SELECT conv_id, turn, NULL, NULL, NULL, 'message', CASE WHEN role IS NULL THEN CAST(to_json({'content': text}) AS VARCHAR) ELSE CAST(to_json({'content': text, 'role': role}) AS VARCHAR) END
+FROM t WHERE coalesce(role, '') NOT IN ('user', 'assistant')
+"""
+
+_OP10 = """
+WITH x AS (SELECT vec_id, list_transform(embedding, lambda e: floor(256 * CAST(e AS DOUBLE))) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.x, v.x) AS BIGINT) AS score FROM x q JOIN x v ON q.vec_id <> v.vec_id AND len(q.x) = len(v.x) WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_filter": _OP3, "op6_exact_dedup": _OP6, "op9_tool_calls": _OP9, "op10_top_k": _OP10}
