@@ -132,6 +132,8 @@ def lexical(t: Term) -> Column:
             return F.replace(t.col.cast("string"), F.lit(" "), F.lit("T"))
         if d.dt in (LIST, MAP):
             return F.to_json(t.col)
+        if d.dt == XSD + "decimal":
+            return F.regexp_replace(F.regexp_replace(t.col.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     return t.col.cast("string")
 
 

@@ -294,7 +294,9 @@ def url_fetch(template: str, get: Callable[[str], str | None]) -> Callable[[Data
 
     from graphloom.sources import uris
 
-    cloudpickle.register_pickle_by_value(sys.modules["graphloom.sources.uris"])
+    for name in ("graphloom.sources.uris", getattr(get, "__module__", None)):  # executors need not have them
+        if name in sys.modules and name != "__main__":
+            cloudpickle.register_pickle_by_value(sys.modules[name])
 
     def fetch(asked: DataFrame) -> DataFrame:
         names = asked.columns
