@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm.common import slices
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Coordinates are 2^BITS; weights take 4 bytes each at most.
@@ -76,7 +78,7 @@ def sigmoid(x):
 
 
 def _featured(batches):
-    for b in batches:
+    for b in slices(batches):
         texts = b.column("text").cast(pa.large_binary()).to_pylist()
         lists = pa.array([features(t) for t in texts], pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays([b.column("at"), b.column("label"), lists], ["at", "label", "found"])
@@ -127,7 +129,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: st
         at, weights, bias = shared.value
         dense = np.zeros(1 << BITS)
         dense[at] = weights
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(b.schema.get_field_index(text)).cast(pa.large_binary()).to_pylist()
             sums = np.array([dense[features(t)].sum() for t in texts], float) + bias
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sigmoid(sums))], [*b.schema.names, to])
