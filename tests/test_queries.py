@@ -174,6 +174,13 @@ def test_refuses(text):
         parse(text)
 
 
+def test_annotations_are_triples_about_triples():
+    q = parse("PREFIX : <http://e/> SELECT * WHERE { ?s :p :o {| :q 1 ; :r 2 |} , :o2 }")
+    triples = q.body.child.triples
+    about = A.Triple(A.Var("s"), A.Iri("http://e/p"), A.Iri("http://e/o"))
+    assert triples[0] == about and [t.s for t in triples[1:3]] == [about, about] and len(triples) == 4
+
+
 def test_escapes():
     q = parse(r'SELECT * WHERE { ?s ?p "a\n\"é\\" }')
     assert q.body.child.triples[0].o == A.Lit('a\n"é\\')
