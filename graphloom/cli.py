@@ -26,7 +26,7 @@ def engine_of(spark: SparkSession, args: argparse.Namespace) -> Engine:
     """Members of federation descriptions (--fd), or the tables of a folder (--tables)."""
     if args.fd:
         triples = lambda address: spark.read.parquet(f"{args.triples}/{urllib.parse.quote(address, safe='')}")
-        members = catalog.load(spark, [Path(f).read_text() for f in args.fd], triples if args.triples else None, _get, folder=str(Path(args.fd[0]).parent))
+        members = catalog.load(spark, [Path(f).read_text() for f in args.fd], triples if args.triples else None, _get, folder=str(Path(args.fd[0]).parent), remote=True)
         return Engine(spark, members, default=tuple(args.default or ()), optimize=not args.no_rewriting)
     return Engine(spark, federation(spark, args.tables), default=tuple(args.default or (f"{EX}m/tpch",)), optimize=not args.no_rewriting)
 

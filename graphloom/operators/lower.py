@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,10 +66,20 @@ class Lowering:
     # ---- joins
 
     def _join(self, op: A.Join) -> R.Rel:
-        return reduce(R.join, [self.rel(p) for p in op.parts]) if op.parts else R.unit(self.spark)
+        """Parts joined in turn; a remote member's part is asked with the bindings of those before it."""
+        out = None
+        for p in op.parts:
+            out = self.rel(p) if out is None else R.join(out, self._bound(out, p))
+        return R.unit(self.spark) if out is None else out
+
+    def _bound(self, left: R.Rel, op: A.Op) -> R.Rel:
+        member = self.members[op.member] if isinstance(op, A.Request) else None
+        found = member.bind(left, op.triples) if hasattr(member, "bind") else None
+        return self.rel(op) if found is None else found
 
     def _leftjoin(self, op: A.LeftJoin) -> R.Rel:
-        left, right = self.rel(op.left), self.rel(op.right)
+        left = self.rel(op.left)
+        right = self._bound(left, op.right)
         conditions = (lambda env: [Compiler(env).condition(c) for c in op.conditions]) if op.conditions else None
         return R.left_join(left, right, conditions)
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from graphloom.plans import algebra as A
 from graphloom.sources import mapping
+from graphloom.sources.remote import RemoteMember
 from graphloom.sources.turtle import Graph, read
 from graphloom.sources.views import LookUpMember, Member, triple_member, url_fetch
 from graphloom.sources.vocabulary import Vocabulary
@@ -71,8 +72,12 @@ def load(
     get: Callable[[str], str | None] | None = None,
     others: dict[str, Member] | None = None,
     folder: str = ".",
+    remote: bool = False,
 ) -> dict[str, Member]:
-    """Members by service IRI. others: members of protocols that need a configuration of their own."""
+    """Members by service IRI. others: members of protocols that need a configuration of their own.
+
+    remote: SPARQL endpoints are asked over the network, if there is no loader for their triples.
+    """
     found, g = descriptions(texts)
     maps = mapping.read_rml(g)
     out: dict[str, Member] = dict(others or {})
@@ -81,7 +86,9 @@ def load(
         if d.vocabulary_file:
             vocabulary = Vocabulary.from_triples(read(Path(folder, d.vocabulary_file).read_text()))
         kind = PROTOCOLS[d.protocol]
-        if kind in ("patterns", "single") and triples is not None:
+        if kind == "patterns" and triples is None and remote:
+            out[d.iri] = RemoteMember(d.address, vocabulary=vocabulary)
+        elif kind in ("patterns", "single") and triples is not None:
             out[d.iri] = triple_member(triples(d.address), single=kind == "single", vocabulary=vocabulary)
         elif kind == "documents" and get is not None:
             out[d.iri] = _documents(spark, d, maps, get, vocabulary)

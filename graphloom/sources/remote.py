@@ -1,69 +1,155 @@
-"""A PySpark data source that reads the solutions of a remote SPARQL endpoint as dynamic triples.
+"""Remote SPARQL endpoints as members: whole patterns as one paged request, or bind joins in batches.
 
-spark.dataSource.register(SparqlTriples); spark.read.format("sparql-triples").option("endpoint", url).load()
+Requests run on the executors. An endpoint gets a pattern with the bindings of what it is joined with, BATCH
+distinct ones at a time in a VALUES clause, so that only what can join is fetched; without a variable that the
+input always binds, it is asked for the whole pattern once.
 """
 
 from __future__ import annotations
 
 import json
+import sys
 import urllib.parse
 import urllib.request
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-PAGE = 10000
-SCHEMA = "s string, p string, o struct<k:tinyint,v:string,dt:string,lang:string>"
+from graphloom.functions import terms as T
+from graphloom.functions.terms import Term
+from graphloom.operators import relation as R
+from graphloom.plans import algebra as A
+from graphloom.sources.views import Member
 
-
-def as_dynamic(cell: dict) -> tuple[int, str, str, str]:
-    """A term of the SPARQL JSON results format in dynamic form."""
-    kind, value = cell["type"], cell["value"]
-    if kind == "uri":
-        return (2, value, "", "")
-    if kind == "bnode":
-        return (1, f"_:{value}", "", "")
-    lang = cell.get("xml:lang", "")
-    plain = "http://www.w3.org/1999/02/22-rdf-syntax-ns#langString" if lang else "http://www.w3.org/2001/XMLSchema#string"
-    return (3, value, cell.get("datatype", plain), lang.lower())
+#: Rows of a page, and bindings of a bind-join request.
+PAGE, BATCH = 10000, 30
 
 
 def ask(endpoint: str, query: str, timeout: float = 60.0) -> dict:
-    """One request by the SPARQL protocol."""
+    """One request by the SPARQL protocol, answered in the JSON results format."""
     data = urllib.parse.urlencode({"query": query}).encode()
     request = urllib.request.Request(endpoint, data, {"Accept": "application/sparql-results+json"})  # noqa: S310
     with urllib.request.urlopen(request, timeout=timeout) as answer:  # noqa: S310
         return json.load(answer)
 
 
-class _Page(InputPartition):
-    def __init__(self, offset: int):
-        self.offset = offset
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options):
-        self.endpoint = options["endpoint"]
-        self.pattern = options.get("pattern", "?s ?p ?o")
-        self.pages = int(options.get("pages", "1"))
-
-    def partitions(self):
-        return [_Page(i * PAGE) for i in range(self.pages)]
-
-    def read(self, partition: _Page) -> Iterator[tuple]:
-        query = f"SELECT ?s ?p ?o WHERE {{ {self.pattern} }} ORDER BY ?s ?p ?o LIMIT {PAGE} OFFSET {partition.offset}"
-        for row in ask(self.endpoint, query)["results"]["bindings"]:
-            s = as_dynamic(row["s"])
-            yield (s[1], row["p"]["value"], as_dynamic(row["o"]))
-
-
-class SparqlTriples(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "sparql-triples"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
+def as_dynamic(cell: dict | None) -> dict | None:
+    """A term of the JSON results format in dynamic form."""
+    if cell is None:
+        return None
+    kind, value = cell["type"], cell["value"]
+    if kind == "uri":
+        return {"k": 2, "v": value, "dt": "", "lang": ""}
+    if kind == "bnode":
+        return {"k": 1, "v": f"_:{value}", "dt": "", "lang": ""}
+    lang = cell.get("xml:lang", "").lower()
+    base = "http://www.w3.org/1999/02/22-rdf-syntax-ns#langString" if lang else "http://www.w3.org/2001/XMLSchema#string"
+    return {"k": 3, "v": value, "dt": cell.get("datatype", base), "lang": lang}
+
+
+def written_term(t) -> str:
+    """A dynamic term as SPARQL writes it; UNDEF for an unbound one."""
+    if t is None:
+        return "UNDEF"
+    if t["k"] == 2:
+        return f"<{t['v']}>"
+    text = t["v"].replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n").replace("\r", "\\r")
+    return f'"{text}"' + (f"@{t['lang']}" if t["lang"] else f"^^<{t['dt']}>")
+
+
+def written_pattern(triples: tuple[A.Triple, ...]) -> str:
+    """A basic pattern as SPARQL writes it."""
+
+    def term(x) -> str:
+        if isinstance(x, A.Var):
+            return "?" + name_of(x.name)
+        if isinstance(x, A.Triple):
+            return f"<< {term(x.s)} {term(x.p)} {term(x.o)} >>"
+        if isinstance(x, A.Iri):
+            return f"<{x.value}>"
+        return written_term({"k": 3, "v": x.value, "dt": x.dt, "lang": x.lang})
+
+    return " . ".join(f"{term(t.s)} {term(t.p)} {term(t.o)}" for t in triples)
+
+
+def name_of(var: str) -> str:
+    """A variable's name in a request; hidden variables (blank nodes) get one too."""
+    return var.replace("_:", "hidden_")
+
+
+def _rows(answer: dict, names: list[str]) -> list[list]:
+    return [[as_dynamic(b.get(n)) for n in names] for b in answer["results"]["bindings"]]
+
+
+class RemoteMember(Member):
+    """An endpoint by its address. request: how it is asked, ask() unless another way is given (as in tests)."""
+
+    def __init__(self, endpoint: str, request: Callable[[str, str], dict] = ask, vocabulary=None):
+        super().__init__([], vocabulary)
+        self.endpoint, self.request = endpoint, request
+        for f in (ask, request):  # executors need not have the modules
+            name = getattr(f, "__module__", None)
+            if name in sys.modules and name != "__main__":
+                cloudpickle.register_pickle_by_value(sys.modules[name])
+
+    def matching(self, t: A.Triple) -> list:
+        return [self]  # what the endpoint has is not known here
+
+    def _read(self, source: DataFrame, run, variables: list[str]) -> R.Rel:
+        schema = ", ".join(f"`{R.column_name(v)}` {T.DYNAMIC}" for v in variables) or "unit boolean"
+        df = source.mapInPandas(run, schema)
+        # blank nodes of different members never meet
+        terms = {}
+        for v in variables:
+            c = F.col(R.column_name(v))
+            scoped = F.struct(c["k"].alias("k"), F.concat(F.lit(f"_:{zlib.crc32(self.endpoint.encode())}-"), c["v"]).alias("v"), c["dt"].alias("dt"), c["lang"].alias("lang"))
+            terms[v] = Term(T.DYN, F.when(c["k"] == T.BNODE, scoped).otherwise(c))
+        return R.made(df, terms, variables)
+
+    def evaluate(self, spark: SparkSession, triples: tuple[A.Triple, ...]) -> R.Rel:
+        variables = sorted(set().union(*[t.variables() for t in triples]))
+        names = [name_of(v) for v in variables]
+        endpoint, request, columns = self.endpoint, self.request, [R.column_name(v) for v in variables] or ["unit"]
+        head = " ".join(f"?{n}" for n in names) or "*"
+        query = f"SELECT {head} WHERE {{ {written_pattern(triples)} }}" + (f" ORDER BY {head}" if names else "")
+
+        def run(batches):
+            for _ in batches:
+                offset = 0
+                while True:
+                    rows = _rows(request(endpoint, f"{query} LIMIT {PAGE} OFFSET {offset}"), names)
+                    yield pd.DataFrame([r or [True] for r in rows], columns=columns)
+                    if len(rows) < PAGE:
+                        break
+                    offset += PAGE
+
+        return self._read(spark.range(0, 1, 1, 1), run, variables)
+
+    def bind(self, left: R.Rel, triples: tuple[A.Triple, ...]) -> R.Rel | None:
+        """The pattern's solutions that can join with left; None if no variable lends itself to that."""
+        variables = sorted(set().union(*[t.variables() for t in triples]))
+        shared = [v for v in variables if v in left.certain]
+        if not shared:
+            return None
+        keys = left.df.select(*[T.dynamic(left.term(v)).alias(f"k{i}") for i, v in enumerate(shared)]).distinct()
+        for i in range(len(shared)):
+            keys = keys.filter(F.col(f"k{i}.k") != T.BNODE)
+        names = [name_of(v) for v in variables]
+        endpoint, request, columns = self.endpoint, self.request, [R.column_name(v) for v in variables]
+        head = " ".join(f"?{n}" for n in names)
+        bound = " ".join(f"?{name_of(v)}" for v in shared)
+        pattern = written_pattern(triples)
+
+        def run(batches):
+            for b in batches:
+                records = b.to_dict("records")
+                for i in range(0, len(records), BATCH):
+                    values = " ".join("(" + " ".join(written_term(r[c]) for c in b.columns) + ")" for r in records[i : i + BATCH])
+                    rows = _rows(request(endpoint, f"SELECT {head} WHERE {{ VALUES ({bound}) {{ {values} }} {pattern} }}"), names)
+                    yield pd.DataFrame(rows, columns=columns)
+
+        return self._read(keys, run, variables)

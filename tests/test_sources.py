@@ -281,6 +281,26 @@ def test_service(spark, people):
     server.shutdown()
 
 
+def test_remote_endpoint(spark, people):
+    """The engine's own service as a remote member: whole requests and bind joins."""
+    from graphloom.sources import remote
+
+    asked = []
+    handler = cli.handler(Engine(spark, {EX + "m": triple_member(people)}, default=(EX + "m",)))
+    plain = handler._answer
+    handler._answer = lambda self, text: (asked.append(text), plain(self, text))[1]
+    server = cli.ThreadingHTTPServer(("127.0.0.1", 0), handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    other = spark.createDataFrame([(EX + x, EX + "lives", iri("rome"), None) for x in ("bob", "dan")], TRIPLE)
+    m = {EX + "r": remote.RemoteMember(f"http://127.0.0.1:{server.server_address[1]}/sparql"), EX + "l": triple_member(other)}
+    assert ask(spark, m, "SELECT ?x ?n WHERE { SERVICE ex:r { ?x ex:name ?n ; ex:age ?a } }") == [(EX + "ann", "Ann")]
+    assert "LIMIT" in asked[-1]
+    assert ask(spark, m, "SELECT ?x ?a WHERE { SERVICE ex:l { ?x ex:lives ?c } SERVICE ex:r { ?x ex:age ?a } }") == [(EX + "bob", "9")]
+    assert "VALUES" in asked[-1] and "dan" in asked[-1]
+    assert ask(spark, m, "SELECT ?x ?a WHERE { SERVICE ex:l { ?x ex:lives ?c } OPTIONAL { SERVICE ex:r { ?x ex:age ?a } } }") == [(EX + "bob", "9"), (EX + "dan", None)]
+    server.shutdown()
+
+
 # ---- streams
 
 
