@@ -34,7 +34,7 @@ HASHES = ROWS * BANDS
 #: Hash values compared between two looks at the posterior, and the posterior below which a pair is dropped.
 STEP, TOLERANCE = 16, 1e-6
 #: Documents of a block; a cell holds two blocks at most.
-BLOCK = 128
+BLOCK = 512
 
 
 def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
