@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from graphloom.plans import algebra as A
 from graphloom.sources import mapping
+from graphloom.sources.fragments import FragmentMember
 from graphloom.sources.remote import RemoteMember
 from graphloom.sources.turtle import Graph, read
 from graphloom.sources.views import LookUpMember, Member, triple_member, url_fetch
@@ -88,6 +89,8 @@ def load(
         kind = PROTOCOLS[d.protocol]
         if kind == "patterns" and triples is None and remote:
             out[d.iri] = RemoteMember(d.address, vocabulary=vocabulary)
+        elif kind == "single" and triples is None and remote:
+            out[d.iri] = FragmentMember(d.address, d.protocol == "brTPFProtocol", vocabulary=vocabulary)
         elif kind in ("patterns", "single") and triples is not None:
             out[d.iri] = triple_member(triples(d.address), single=kind == "single", vocabulary=vocabulary)
         elif kind == "documents" and get is not None:

@@ -281,6 +281,35 @@ def test_service(spark, people):
     server.shutdown()
 
 
+FRAGMENT = [(f"<{EX}ann>", f"<{EX}knows>", f"<{EX}bob>"), (f"<{EX}bob>", f"<{EX}knows>", f"<{EX}cid>"), (f"<{EX}cid>", f"<{EX}knows>", f"<{EX}ann>"), (f"<{EX}bob>", f"<{EX}age>", f'"9"^^<{A.XSD}integer>')]
+
+
+def fragment(url: str) -> str:
+    """A fragment server with two triples a page."""
+    given = {k: v[0] for k, v in urllib.parse.parse_qs(urllib.parse.urlparse(url).query).items()}
+    found = [t for t in FRAGMENT if all(k not in given or t[i].replace("<", "").replace(">", "") == given[k] for i, k in enumerate(("subject", "predicate", "object")))]
+    if "values" in given:
+        found = [t for t in found if t[0] in given["values"]]
+    page = int(given.get("page", 0))
+    lines = [" ".join(t) + " ." for t in found[2 * page : 2 * page + 2]]
+    lines.append(f"<{url}> <http://www.w3.org/ns/hydra/core#totalItems> {len(found)} .")
+    if len(found) > 2 * page + 2:
+        lines.append(f"<{url}> <http://www.w3.org/ns/hydra/core#next> <{url.split('&page')[0]}&page={page + 1}> .")
+    return "\n".join(lines)
+
+
+@pytest.mark.parametrize("bindings", [False, True])
+def test_fragments(spark, bindings):
+    from graphloom.sources.fragments import FragmentMember
+
+    other = spark.createDataFrame([(EX + "bob", EX + "lives", iri("rome"), None)], TRIPLE)
+    m = {EX + "f": FragmentMember("http://f/?x=1", bindings, fragment), EX + "l": triple_member(other)}
+    assert ask(spark, m, "SELECT ?x ?y WHERE { SERVICE ex:f { ?x ex:knows ?y } }") == [(EX + "ann", EX + "bob"), (EX + "bob", EX + "cid"), (EX + "cid", EX + "ann")]
+    assert ask(spark, m, "SELECT ?x ?y WHERE { SERVICE ex:f { ?x ex:knows ?y . ?x ex:age 9 } }") == [(EX + "bob", EX + "cid")]
+    assert ask(spark, m, "SELECT ?x ?y WHERE { SERVICE ex:l { ?x ex:lives ?c } SERVICE ex:f { ?x ex:knows ?y } }") == [(EX + "bob", EX + "cid")]
+    assert ask(spark, m, "SELECT ?p WHERE { SERVICE ex:f { ex:bob ?p ?o } }") == [(EX + "age",), (EX + "knows",)]
+
+
 def test_remote_endpoint(spark, people):
     """The engine's own service as a remote member: whole requests and bind joins."""
     from graphloom.sources import remote
