@@ -36,7 +36,7 @@ ITERATIONS = 4
 #: Pseudo-count of an unseen word, and the tokens that a state borrows from the corpus distribution.
 DELTA, BORROWED = 0.1, 500.0
 #: Tokens of a segment, segments worked on at a time, and steps between rescalings of transfer matrices.
-SEGMENT, TOGETHER, RESCALE = 256, 1024, 16
+SEGMENT, TOGETHER, RESCALE = 256, 512, 16
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 400_000
 
@@ -108,9 +108,11 @@ class Segments:
         for at, reach in self.groups(np.flatnonzero(self.place > 0)):
             b = model.emit[self.taken(at, len(reach))]
             m = np.broadcast_to(np.eye(k), (len(at), k, k)).copy()
+            moved = np.empty((len(at) * k, k))
             scale = np.zeros(len(at))
             for t, n in enumerate(reach):
-                m[:n] = (m[:n].reshape(-1, k) @ model.move).reshape(n, k, k) * b[t, :n, None, :]
+                np.matmul(m[:n].reshape(-1, k), model.move, out=moved[: n * k])
+                np.multiply(moved[: n * k].reshape(n, k, k), b[t, :n, None, :], out=m[:n])
                 if t % RESCALE == RESCALE - 1 or t == len(reach) - 1:
                     top = m.max(axis=(1, 2))
                     m /= top[:, None, None]
@@ -159,20 +161,23 @@ class Segments:
             alpha = np.zeros((steps + 1, len(at), k))
             scale = np.ones((steps, len(at)))
             alpha[0] = entering[at]
+            x, ones = np.empty((len(at), k)), np.ones(k)
             for t, n in enumerate(reach):
-                x = (alpha[t, :n] @ model.move) * b[t, :n]
-                scale[t, :n] = x.sum(axis=1)
-                alpha[t + 1, :n] = x / scale[t, :n, None]
+                np.matmul(alpha[t, :n], model.move, out=x[:n])
+                x[:n] *= b[t, :n]
+                np.dot(x[:n], ones, out=scale[t, :n])
+                np.divide(x[:n], scale[t, :n, None], out=alpha[t + 1, :n])
             last = alpha[self.length[at], np.arange(len(at))]
             beta = leaving[at] / (last * leaving[at]).sum(axis=1)[:, None]
             weight = np.zeros((steps, len(at), k))  # emission times what follows, by scale
             gamma = np.zeros((steps, len(at), k))
-            turned = model.move.T
+            turned = np.ascontiguousarray(model.move.T)
+            b /= scale[:, :, None]
             for t in range(steps - 1, -1, -1):
                 n = reach[t]
-                gamma[t, :n] = alpha[t + 1, :n] * beta[:n]
-                weight[t, :n] = b[t, :n] * beta[:n] / scale[t, :n, None]
-                beta[:n] = weight[t, :n] @ turned
+                np.multiply(alpha[t + 1, :n], beta[:n], out=gamma[t, :n])
+                np.multiply(b[t, :n], beta[:n], out=weight[t, :n])
+                np.matmul(weight[t, :n], turned, out=beta[:n])
             head = self.place[at] == 0
             started += (model.start * beta[head]).sum(axis=0)
             moved += model.move * (alpha[:-1].reshape(-1, k).T @ weight.reshape(-1, k))
