@@ -12,12 +12,16 @@ from __future__ import annotations
 import hashlib
 import re
 import sys
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
+from graphloom.llm.common import slices
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MARK = "▁"
@@ -28,6 +32,14 @@ TABLE, LONGEST = 400_000, 64
 _PROBES = ["", " ", "a", " a", "a ", "a  b", f"{MARK}a{MARK}", "x\ny", "ﬁ ① é", "\t a", "a　b", "<s> </s><unk>", "\U0001f600 q"]
 
 
+def _packed(ids: list[int]) -> bytes:
+    """ids as little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
+
+
 class ChunkTable:
     """Encodes texts with begin and end ids, as the library does."""
 
@@ -37,14 +49,18 @@ class ChunkTable:
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         pieces = (self.sp.id_to_piece(i) for i in range(self.sp.vocab_size()))
         self.by_chunk = not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
-        self.lone = (np.array([self.sp.piece_to_id(MARK)], "<u4").tobytes(), "")
-        self.table: dict[str, tuple[bytes, str]] = {"": self.lone}
-        self.ends = tuple(np.array([i], "<u4").tobytes() for i in (self.sp.bos_id(), self.sp.eos_id()))
-        self.by_chunk = self.by_chunk and all(self.encode(t) == self._whole(t) for t in _PROBES)
+        self.begin, self.end = (_packed([i]) for i in (self.sp.bos_id(), self.sp.eos_id()))
+        self._empty()
+        self.by_chunk = self.by_chunk and all(self.encode([t]) == [self._whole(t)] for t in _PROBES)
+
+    def _empty(self) -> None:
+        #: chunk -> its ids, packed; and what chunks decode to, where that is not the chunk itself
+        self.ids: dict[str, bytes] = {"": _packed([self.sp.piece_to_id(MARK)])}
+        self.other: dict[str, str] = {}
 
     def _whole(self, text: str) -> tuple[bytes, str]:
         ids = self.sp.encode(text, add_bos=True, add_eos=True)
-        return np.array(ids, "<u4").tobytes(), self.sp.decode(ids)
+        return _packed(ids), self.sp.decode(ids)
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -55,27 +71,35 @@ class ChunkTable:
             return text.split(" ")
         return [c[1:] for c in re.findall(" +[^ ]*", " " + text.replace(MARK, " "))]
 
-    def _segment(self, chunks: list[str]) -> list[tuple[bytes, str]]:
-        ids = self.sp.encode(chunks, num_threads=1)
-        return [(np.array(i, "<u4").tobytes(), d) for i, d in zip(ids, self.sp.decode(ids, num_threads=1), strict=True)]
-
-    def encode(self, text: str | None) -> tuple[bytes, str]:
-        """(ids as little-endian 32-bit integers, decoded text); a null text counts as empty."""
-        text = text or ""
+    def encode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
+        """(ids as little-endian 32-bit integers, decoded text) of each text; a null counts as empty."""
         if not self.by_chunk:
-            return self._whole(text)
-        chunks = self.chunks(text)
-        table = self.table
-        missing = [c for c in dict.fromkeys(chunks) if c not in table]
-        if len(table) + len(missing) > TABLE:
-            table = self.table = {"": self.lone}
-            missing = [c for c in dict.fromkeys(chunks) if c]
-        long: dict[str, tuple[bytes, str]] = {}
-        for c, got in zip(missing, self._segment(missing), strict=True) if missing else ():
-            (table if len(c) <= LONGEST and len(table) < TABLE else long)[c] = got
-        parts = [table.get(c) or long[c] for c in chunks] if long else [table[c] for c in chunks]
-        begin, end = self.ends
-        return begin + b"".join([p[0] for p in parts]) + end, " ".join([p[1] for p in parts])
+            return [self._whole(t or "") for t in texts]
+        lists = [self.chunks(t or "") for t in texts]
+        wanted = set(chain.from_iterable(lists))
+        missing = wanted.difference(self.ids)
+        if len(self.ids) + len(missing) > TABLE:
+            self._empty()
+            missing = wanted.difference(self.ids)
+        long = []
+        if missing:
+            new = list(missing)
+            found = self.sp.encode(new, num_threads=1)
+            for c, ids, text in zip(new, found, self.sp.decode(found, num_threads=1), strict=True):
+                self.ids[c] = _packed(ids)
+                if text != c:
+                    self.other[c] = text
+                if len(c) > LONGEST:
+                    long.append(c)
+        ids, other = self.ids, self.other
+        out = []
+        for chunks in lists:
+            text = " ".join([other.get(c, c) for c in chunks] if other else chunks)
+            out.append((b"".join([self.begin, *map(ids.__getitem__, chunks), self.end]), text))
+        for c in long:
+            del ids[c]
+            other.pop(c, None)
+        return out
 
 
 def model_bytes(path: str) -> bytes:
@@ -88,8 +112,8 @@ def _mapped(docs: DataFrame, model: bytes, columns: list[str], fields: str, make
 
     def run(batches):
         table = ChunkTable(shared.value)
-        for b in batches:
-            got = [make(*table.encode(t)) for t in b.column("text").to_pylist()]
+        for b in slices(batches):
+            got = [make(*x) for x in table.encode(b.column("text").to_pylist())]
             kept = [b.column(c) for c in columns]
             made = list(zip(*got, strict=True)) if got else [[] for _ in fields.split(", ")]
             types = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}

@@ -179,10 +179,10 @@ def test_pieces_equal_the_library(spark):
 def test_table_is_emptied_when_full(monkeypatch):
     pytest.importorskip("public_tokenizers")
     table = pieces.ChunkTable(pieces.default_model())
-    monkeypatch.setattr(pieces, "TABLE", 5)
-    for t in ["a b c d", "e f g h i", "a  b e", "j k l m n o p q r s"]:
-        assert table.encode(t) == table._whole(t)
-    assert len(table.table) <= 6
+    monkeypatch.setattr(pieces, "TABLE", 12)
+    for texts in (["a b c d", "e f"], ["g h i", None, "a  b e"], ["j k l m n o p q", "r s " + "y" * 70]):
+        assert table.encode(texts) == [table._whole(t or "") for t in texts]
+    assert len(table.ids) <= 12 and "y" * 70 not in table.ids
 
 
 # ---- repeats
