@@ -241,6 +241,10 @@ QUERIES: dict[str, tuple[str, str]] = {
         "SELECT ?id ?q WHERE { SERVICE m:documents { ?d ex:doc_id ?id } OPTIONAL { SERVICE m:labels { ?d ex:quality ?q } } } ORDER BY ?q ?id LIMIT 30",
         "SELECT d.doc_id AS id, quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY quality ASC NULLS FIRST, d.doc_id LIMIT 30",
     ),
+    "distinct_ordered": (
+        "SELECT DISTINCT ?b ?s WHERE { ?p ex:p_brand ?b ; ex:p_size ?s } ORDER BY DESC(?s) ?b LIMIT 15",
+        "SELECT DISTINCT p_brand AS b, p_size AS s FROM part ORDER BY p_size DESC, p_brand LIMIT 15",
+    ),
     "subselect": (
         "SELECT ?name ?n WHERE { ?c ex:c_name ?name { SELECT ?c (COUNT(*) AS ?n) WHERE { ?o ex:o_customer ?c } GROUP BY ?c HAVING (COUNT(*) >= 12) } }",
         "SELECT c_name AS name, n FROM customer JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) >= 12) ON c_custkey = o_custkey",

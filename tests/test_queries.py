@@ -71,6 +71,13 @@ def test_keys_join_as_numbers(spark):
     assert "concat" not in plan and "EqualTo(c_mktsegment,BUILDING)" in plan and "GreaterThan(o_totalprice,100000" in plan
 
 
+@needs_tables
+def test_order_survives_distinct(spark):
+    df = catalogue.engine(spark, TABLES).select(catalogue.PREFIXES + "SELECT DISTINCT ?s WHERE { ?p ex:p_size ?s } ORDER BY DESC(?s)")
+    got = [r["s"] for r in df.collect()]
+    assert got == sorted(set(got), reverse=True)
+
+
 def test_entry_imports_without_a_session():
     import subprocess
     import sys
