@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import sys
 import uuid
 
-from pyspark import cloudpickle
+from pyspark import SparkContext, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +26,29 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Tables made by this driver. Lazy results may read them until it ends.
+_MADE: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/graphloom-{name}-{uuid.uuid4().hex}"
+    if not _MADE:
+        atexit.register(sweep)
+    _MADE.append(f"{scratch_root(spark)}/graphloom-{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def sweep() -> None:
+    """Deletes all tables that this driver has made and not yet deleted; done anyway when it ends."""
+    jvm = SparkContext._jvm
+    while _MADE:
+        path = _MADE.pop()
+        with contextlib.suppress(Exception):  # the JVM may be gone, or the table
+            _delete(jvm, path, jvm.org.apache.hadoop.conf.Configuration())
+
+
+def _delete(jvm, path: str, conf) -> None:
+    hadoop = jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(conf).delete(hadoop, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -44,8 +67,9 @@ def discard(df: DataFrame) -> None:
     if path is None:
         return
     spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    _delete(spark._jvm, path, spark._jsc.hadoopConfiguration())
+    if path in _MADE:
+        _MADE.remove(path)
 
 
 def ascii_lower(column: Column) -> Column:

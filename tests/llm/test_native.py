@@ -32,6 +32,19 @@ def test_with_group_equals_plain_aggregates(spark):
     assert {(r["k"], r["low"], r["n"]) for r in got} == {("true", 0, 167), ("false", 1, 333)}
 
 
+def test_sweep_deletes_what_is_left(spark):
+    from graphloom.llm import common
+
+    kept, gone = common.written(spark.range(3), "a"), common.written(spark.range(3), "b")
+    common.discard(gone)
+    common.discard(spark.range(1))
+    assert kept.count() == 3 and any("graphloom-a-" in p for p in common._MADE) and not any("graphloom-b-" in p for p in common._MADE)
+    common.sweep()
+    assert not common._MADE
+    with pytest.raises(Exception):  # noqa: B017, PT011
+        spark.read.parquet(kept._graphloom_path).count()
+
+
 def test_exact_dedup_against_brute_force(spark):
     rows = [(i, random.Random(i % 40).choice(["Aa É", "aa É", "aa é", "", None, "x" * 5000]) if i % 7 else f"t{i}", "e", "d") for i in range(300)]
     got = {r["doc_id"]: r for r in exact_dedup.exact_dedup(spark.createDataFrame(rows, DOCS)).collect()}
