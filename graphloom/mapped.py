@@ -65,9 +65,9 @@ def _json(spark: SparkSession, sf_dir: str) -> Callable:
     return documents
 
 
-def _rml_member(spark: SparkSession, sf_dir: str, *names: str) -> Member:
+def _rml_member(spark: SparkSession, sf_dir: str, *names: str, unique: bool = False) -> Member:
     maps = mapping.read_rml(Graph(read(RML)))
-    return Member(mapping.rml_views(maps, _json(spark, sf_dir), "rml", only=[A.Iri(EX + n) for n in names]))
+    return Member(mapping.rml_views(maps, _json(spark, sf_dir), "rml", only=[A.Iri(EX + n) for n in names], unique=unique))
 
 
 def _graph_member(spark: SparkSession, sf_dir: str) -> Member:
@@ -129,7 +129,7 @@ def _lookup_member(spark: SparkSession, sf_dir: str) -> LookUpMember:
 def _engine(spark: SparkSession, sf_dir: str) -> Engine:
     f = federation(spark, sf_dir)
     f.makers |= {
-        EX + "m/events-json": lambda: _rml_member(spark, sf_dir, "eventKey", "eventType"),
+        EX + "m/events-json": lambda: _rml_member(spark, sf_dir, "eventKey", "eventType", unique=True),
         EX + "m/events-map": lambda: _rml_member(spark, sf_dir, "eventProps"),
         EX + "m/chats-json": lambda: _rml_member(spark, sf_dir, "turnText"),
         EX + "m/geo-json": lambda: _rml_member(spark, sf_dir, "nationRegion", "regionName"),

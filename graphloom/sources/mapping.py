@@ -311,11 +311,19 @@ def relation_of(t: TriplesMap, p: dict, o: dict, maps: dict, documents: Callable
     return project(extend(r, "o", made_o), ["s", "p", "o"])
 
 
-def rml_views(maps: dict, documents, scope: str, base: str = "", only: list | None = None) -> list[View]:
-    """Views of the triples of RML triples maps (of those named, or of all)."""
+def rml_views(maps: dict, documents, scope: str, base: str = "", only: list | None = None, unique: bool = False) -> list[View]:
+    """Views of the triples of RML triples maps (of those named, or of all).
+
+    unique: no two context objects of an iterator make the same subject. Maps of one source, iterator and
+    subject then share one pass over the documents, and a star of their predicates is one scan.
+    """
     views = []
+    shared: dict[tuple, list] = {}
     for node in only or list(maps):
         t = maps[node]
+        if unique and _single_valued(t):
+            shared.setdefault((str(t.source), t.iterator, str(t.subject)), []).append(t)
+            continue
         pairs = [({"constant": A.Iri(A.RDF_TYPE)}, {"constant": A.Iri(c)}) for c in t.classes] + t.pairs
         for i, (p, o) in enumerate(pairs):
             r = relation_of(t, p, o, maps, documents, scope, base)
@@ -323,6 +331,35 @@ def rml_views(maps: dict, documents, scope: str, base: str = "", only: list | No
             name = f"{scope}/{node}/{i}"
             predicate = p["constant"].value if "constant" in p else a["p"]
             views.append(View(Rows(name, r.df, r.keys), a["s"], predicate, a["o"], unique=False, repeats=True))
+    for i, group in enumerate(shared.values()):
+        views += _one_pass(group, documents, scope, base, f"{scope}/shared/{i}")
+    return views
+
+
+def _single_valued(t: TriplesMap) -> bool:
+    """Whether all references of a triples map find one value at most, and all predicates are fixed."""
+    terms = [t.subject, *[m for pair in t.pairs for m in pair]]
+    return not any("parentTriplesMap" in m or any(len(json_steps(r)) > 1 for r in _references(m)) for m in terms) and all("constant" in p for p, _ in t.pairs)
+
+
+def _one_pass(group: list[TriplesMap], documents, scope: str, base: str, name: str) -> list[View]:
+    """Views over one relation with a nullable attribute for every reference of some triples maps."""
+    first = group[0]
+    df, doc, keys = documents(first.source)
+    refs = list(dict.fromkeys(r for t in group for m in [t.subject, *[o for _, o in t.pairs]] for r in _references(m)))
+    objects = _values(df.select(*keys, F.try_parse_json(F.col(doc).cast("string")).alias("_doc")), F.col("_doc"), first.iterator, "_object")
+    found = [F.try_variant_get(F.col("_object"), json_steps(r)[0], "variant") for r in refs]
+    rows = objects.select(*keys, *[F.when(~F.is_variant_null(v), v).alias(f"_q{i}") for i, v in enumerate(found)])
+    r = _kept(rows, {x: json_term(F.col(f"_q{i}")) for i, x in enumerate(refs)}, keys)
+    shared = Rows(name, r.df, keys)
+    s = _made(first.subject, "IRI", scope, base)(r.attributes)
+    views = []
+    for t in group:
+        for c in t.classes:
+            views.append(View(shared, s, A.RDF_TYPE, Term(T.PLAIN_IRI, F.lit(c))))
+        for p, o in t.pairs:
+            literal_like = "reference" in o or "datatype" in o or "language" in o
+            views.append(View(shared, s, p["constant"].value, _made(o, "Literal" if literal_like else "IRI", scope, base)(r.attributes)))
     return views
 
 

@@ -133,6 +133,29 @@ _:one rml:logicalSource [ rml:source _:f ; rml:referenceFormulation rml:JSONPath
 """
 
 
+def test_unique_subjects_share_a_scan(spark):
+    text = f"""PREFIX rml: <http://w3id.org/rml/> PREFIX ex: <{EX}>
+      ex:a rml:logicalSource [ rml:source ex:d ; rml:iterator "$[*]" ] ; rml:subjectMap [ rml:template "{EX}{{id}}" ; rml:class ex:T ] ; rml:predicateObjectMap [ rml:predicate ex:v ; rml:objectMap [ rml:reference "v" ] ] .
+      ex:b rml:logicalSource [ rml:source ex:d ; rml:iterator "$[*]" ] ; rml:subjectMap [ rml:template "{EX}{{id}}" ] ; rml:predicateObjectMap [ rml:predicate ex:w ; rml:objectMap [ rml:template "{EX}w/{{w.x}}" ] ] .
+      ex:c rml:logicalSource [ rml:source ex:d ; rml:iterator "$[*]" ] ; rml:subjectMap [ rml:template "{EX}{{id}}" ] ; rml:predicateObjectMap [ rml:predicate ex:l ; rml:objectMap [ rml:reference "l[*]" ] ] ."""
+    docs = documents(spark, ['[{"id":1,"v":"a","w":{"x":"p"},"l":[1,2]},{"id":2,"v":null},{"id":3,"w":{"x":"q r"}},{"v":"no id"}]', "none"])
+    maps = mapping.read_rml(Graph(read(text)))
+    answers = []
+    for unique in (False, True):
+        views = mapping.rml_views(maps, lambda _: (docs, "doc", ()), "u", unique=unique)
+        m = {EX + "m": mapping_member(views)}
+        run = lambda t: sorted(map(str, Engine(spark, m).select(f"PREFIX ex: <{EX}> SELECT * WHERE {{ SERVICE ex:m {{ {t} }} }}").collect()))  # noqa: B023, E731
+        answers.append([run(t) for t in ("?x ex:v ?v ; ex:w ?w", "?x a ex:T", "?x ?p ?o", "?x ex:w ?w OPTIONAL { ?x ex:v ?v }", "?x ex:l ?l ; ex:v ?v")])
+    assert answers[0] == answers[1] and len({v.rows.name for v in views}) == 2
+    assert [len(a) for a in answers[0]] == [1, 3, 8, 2, 2]
+
+
+def mapping_member(views):
+    from graphloom.sources.views import Member
+
+    return Member(views)
+
+
 def test_rml_file_dump(spark, tmp_path, capsys):
     (tmp_path / "cases.json").write_text('{"country": "Sweden", "cases": 999, "list": [1, 2]}')
     (tmp_path / "map.ttl").write_text(RML)
