@@ -19,10 +19,15 @@ TRIPLE_COLUMNS = ["s", "p", "o", "dt", "lang"]
 
 
 class Engine:
-    """members: IRI -> member; default: members that answer patterns outside of any SERVICE."""
+    """members: IRI -> member; default: members that answer patterns outside of any SERVICE.
 
-    def __init__(self, spark: SparkSession, members: dict, default: tuple[str, ...] = (), optimize: bool = True):
-        self.spark, self.members, self.default, self.rewriting = spark, members, tuple(default), optimize
+    counting: joins are ordered by the number of solutions of each request, which the members are asked for once
+    (a job each); otherwise by a guess from the patterns, and AQE does the rest.
+    """
+
+    def __init__(self, spark: SparkSession, members: dict, default: tuple[str, ...] = (), optimize: bool = True, counting: bool = False):
+        self.spark, self.members, self.default, self.rewriting, self.counting = spark, members, tuple(default), optimize, counting
+        self.counts: dict[A.Request, int] = {}
         self.measured: dict[str, float] = {}
 
     # ---- planning
@@ -34,9 +39,14 @@ class Engine:
     def plan(self, query: A.Query) -> A.Op:
         op = self.assigned(query)
         if self.rewriting:
-            return rules.optimize(op, self.members)
+            return rules.optimize(op, self.members, self._count if self.counting else None)
         return rules.apply_vocabularies(op, self.members)
 
+    def _count(self, request: A.Request) -> int:
+        if request not in self.counts:
+            self.counts[request] = self.members[request.member].cardinality(self.spark, request.triples)
+        return self.counts[request]
+
     def lower(self, op: A.Op) -> R.Rel:
         return Lowering(self.spark, self.members).rel(op)
 

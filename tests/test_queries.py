@@ -71,6 +71,16 @@ def test_keys_join_as_numbers(spark):
     assert "concat" not in plan and "EqualTo(c_mktsegment,BUILDING)" in plan and "GreaterThan(o_totalprice,100000" in plan
 
 
+@needs_tables
+def test_joins_ordered_by_counts(spark):
+    e = Engine(spark, federation(spark, TABLES), counting=True)
+    text = catalogue.PREFIXES + "SELECT * WHERE { SERVICE m:orders { ?o ex:o_customer ?c } SERVICE m:customer { ?c ex:c_nation ?n } SERVICE m:nation { ?n ex:n_name ?x } }"
+    plan = e.plan(parse(text)).child
+    assert [p.member.rpartition("/")[2] for p in plan.parts] == ["nation", "customer", "orders"]
+    assert sorted(e.counts.values())[0] == 25
+    assert e.select(text).count() == Engine(spark, federation(spark, TABLES)).select(text).count()
+
+
 @needs_tables
 def test_order_survives_distinct(spark):
     df = catalogue.engine(spark, TABLES).select(catalogue.PREFIXES + "SELECT DISTINCT ?s WHERE { ?p ex:p_size ?s } ORDER BY DESC(?s)")
