@@ -41,7 +41,15 @@ class DigestIndex:
         return cls(spark, f"graphloom_index_{uuid.uuid4().hex}", scratch_path(spark, "index"), buckets)
 
     def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
+        """Whether anything was appended yet, in this session or, by the folder, in an earlier one."""
+        if self.spark.catalog.tableExists(self.name):
+            return True
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+            return False
+        columns = "digest STRING, keep_id BIGINT, group_size BIGINT"
+        self.spark.sql(f"CREATE TABLE `{self.name}` ({columns}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
+        return True
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)

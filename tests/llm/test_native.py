@@ -67,6 +67,11 @@ def test_index_lasts_between_batches(spark):
     got = sorted((r["doc_id"], r["keep_id"], r["kept"]) for r in index.ingest(second).collect())
     assert got == [(4, 2, False), (5, 5, True), (5, 5, True)]
     assert index.read().count() == 3
+    spark.sql(f"DROP TABLE {index.name}")  # as in a new session: the folder is still there
+    again = exact_dedup.DigestIndex(spark, index.name + "_again", index.path, buckets=4)
+    third = exact_dedup.digests(spark.createDataFrame([(6, "B"), (7, "d")], "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["keep_id"], r["kept"]) for r in again.ingest(third).collect()) == [(6, 3, False), (7, 7, True)]
+    assert again.read().count() == 4
 
 
 def test_anti_join_reads_the_index_without_a_shuffle(spark):
