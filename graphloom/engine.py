@@ -22,12 +22,14 @@ class Engine:
     """members: IRI -> member; default: members that answer patterns outside of any SERVICE.
 
     counting: joins are ordered by the number of solutions of each request, which the members are asked for once
-    (a job each); otherwise by a guess from the patterns, and AQE does the rest.
+    (a job each); otherwise by a guess from the patterns, and AQE does the rest. join: a hint for how inner joins
+    are made (merge, shuffle_hash, shuffle_replicate_nl); Spark chooses by itself without one.
     """
 
-    def __init__(self, spark: SparkSession, members: dict, default: tuple[str, ...] = (), optimize: bool = True, counting: bool = False):
+    def __init__(self, spark: SparkSession, members: dict, default: tuple[str, ...] = (), optimize: bool = True, counting: bool = False, join: str | None = None):
         self.spark, self.members, self.default, self.rewriting, self.counting = spark, members, tuple(default), optimize, counting
         self.counts: dict[A.Request, int] = {}
+        self.join = join
         self.measured: dict[str, float] = {}
 
     # ---- planning
@@ -48,7 +50,7 @@ class Engine:
         return self.counts[request]
 
     def lower(self, op: A.Op) -> R.Rel:
-        return Lowering(self.spark, self.members).rel(op)
+        return Lowering(self.spark, self.members, self.join).rel(op)
 
     def explain(self, text: str) -> str:
         query = parse(text)

@@ -16,8 +16,8 @@ from graphloom.sources.vocabulary import translate
 
 
 class Lowering:
-    def __init__(self, spark: SparkSession, members: dict):
-        self.spark, self.members = spark, members
+    def __init__(self, spark: SparkSession, members: dict, hint: str | None = None):
+        self.spark, self.members, self.hint = spark, members, hint
 
     def rel(self, op: A.Op) -> R.Rel:
         return getattr(self, "_" + type(op).__name__.lower())(op)
@@ -54,7 +54,7 @@ class Lowering:
     def _graph(self, op: A.Graph) -> R.Rel:
         """The pattern in one named graph, or, for a variable, in each of those that the members have."""
         if isinstance(op.target, A.Iri):
-            return Lowering(self.spark, _Graphs(self.members, op.target.value)).rel(op.child)
+            return Lowering(self.spark, _Graphs(self.members, op.target.value), self.hint).rel(op.child)
         names = set()
         for m in self.members.values():
             for v in m.views:
@@ -69,7 +69,7 @@ class Lowering:
         """Parts joined in turn; a remote member's part is asked with the bindings of those before it."""
         out = None
         for p in op.parts:
-            out = self.rel(p) if out is None else R.join(out, self._bound(out, p))
+            out = self.rel(p) if out is None else R.join(out, self._bound(out, p), self.hint)
         return R.unit(self.spark) if out is None else out
 
     def _bound(self, left: R.Rel, op: A.Op) -> R.Rel:
@@ -110,7 +110,7 @@ class Lowering:
                 df = df.filter(F.col(f"_key_{n}").isNotNull())
         asked = df.select(*[F.coalesce(F.col(f"_key_{n}"), F.lit("")).alias(n) for n in names]).distinct()
         local = dict(self.members) | {op.member: member.member(asked)}
-        right = Lowering(self.spark, local).rel(op.body)
+        right = Lowering(self.spark, local, self.hint).rel(op.body)
         terms = left.env() | {f"_key_{n}": Term(T.literal(T.STRING), F.coalesce(F.col(f"_key_{n}"), F.lit(""))) for n in names}
         keyed = R.made(df, terms, left.certain | {f"_key_{n}" for n in names})
         back = R.made(right.df, {(f"_key_{v}" if v in names and v in right.descs else v): t for v, t in right.env().items()}, {(f"_key_{v}" if v in names else v) for v in right.certain})

@@ -81,6 +81,14 @@ def test_joins_ordered_by_counts(spark):
     assert e.select(text).count() == Engine(spark, federation(spark, TABLES)).select(text).count()
 
 
+@needs_tables
+@pytest.mark.parametrize(("hint", "node"), [("merge", "SortMergeJoin"), ("shuffle_hash", "ShuffledHashJoin")])
+def test_join_hints(spark, hint, node):
+    e = Engine(spark, federation(spark, TABLES), join=hint)
+    df = e.select(catalogue.PREFIXES + catalogue.QUERIES["join_one_var"][0])
+    assert node in df._jdf.queryExecution().executedPlan().toString() and df.count() == 25
+
+
 @needs_tables
 def test_order_survives_distinct(spark):
     df = catalogue.engine(spark, TABLES).select(catalogue.PREFIXES + "SELECT DISTINCT ?s WHERE { ?p ex:p_size ?s } ORDER BY DESC(?s)")
