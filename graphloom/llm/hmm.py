@@ -372,7 +372,7 @@ def score_documents(docs: DataFrame, states: int = STATES, iterations: int = ITE
     shared = spark.sparkContext.broadcast((model, log_c, log_bucket, known))
     scored = encoded.select("row", "doc_id", "held_out", "ids").mapInArrow(_scored(shared), "row long, doc_id long, held_out boolean, score double, base double, n_known long, n_tokens long")
     rare = encoded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
-    looked = rare.join(tail, "word", "left")
+    looked = rare.join(tail.hint("shuffle_hash"), "word", "left")  # each word once: partitions of it are even
     share = F.log10(F.coalesce("c", F.lit(0)) + DELTA) * F.col("times")
     sums = looked.groupBy("row").agg(F.sum(share).alias("log_rare"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known_rare"))
     out = scored.join(sums, "row", "left")
