@@ -92,7 +92,7 @@ QUERIES: dict[str, tuple[str, str]] = {
     ),
     "join_possible_var": (
         """SELECT ?id ?q WHERE { SERVICE m:documents { ?d ex:doc_id ?id ; ex:lang "fr" } OPTIONAL { SERVICE m:labels { ?d ex:quality ?q } } VALUES ?q { 0 } }""",
-        """SELECT d.doc_id AS id, CAST(0 AS INTEGER) AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE lang = 'fr' AND (quality IS NULL OR quality = 0)""",
+        """SELECT d.doc_id AS id, CAST(0 AS BIGINT) AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE lang = 'fr' AND (quality IS NULL OR quality = 0)""",
     ),
     "join_five_tables": (
         """SELECT ?r (COUNT(*) AS ?n) WHERE { ?l ex:l_order ?o ; ex:l_supplier ?s ; ex:l_quantity ?q . ?o ex:o_customer ?c . ?c ex:c_nation ?n .
@@ -167,14 +167,14 @@ QUERIES: dict[str, tuple[str, str]] = {
     ),
     "distinct": ("SELECT DISTINCT ?f ?s WHERE { ?l ex:l_returnflag ?f ; ex:l_linestatus ?s }", "SELECT DISTINCT l_returnflag AS f, l_linestatus AS s FROM lineitem"),
     "project_bag": ("SELECT ?f WHERE { ?l ex:l_returnflag ?f ; ex:l_tax ?t FILTER(?t = 0) }", "SELECT l_returnflag AS f FROM lineitem WHERE l_tax = 0"),
-    "project_absent_var": ("SELECT ?name ?nobody WHERE { SERVICE m:region { ?r ex:r_name ?name } }", "SELECT r_name AS name, NULL AS nobody FROM region"),
+    "project_absent_var": ("SELECT ?name ?nobody WHERE { SERVICE m:region { ?r ex:r_name ?name } }", "SELECT r_name AS name, CAST(NULL AS VARCHAR) AS nobody FROM region"),
     "bind_arith": (
         "SELECT ?k ?v WHERE { ?l ex:l_orderkey ?k ; ex:l_quantity ?q ; ex:l_linenumber ?i BIND(?q * 2 + ?i - 1 AS ?v) }",
         "SELECT l_orderkey AS k, l_quantity * 2 + l_linenumber - 1 AS v FROM lineitem",
     ),
     "bind_error_unbound": (
         "SELECT ?name ?v WHERE { SERVICE m:region { ?r ex:r_name ?name } BIND(?name + 1 AS ?v) }",
-        "SELECT r_name AS name, NULL AS v FROM region",
+        "SELECT r_name AS name, CAST(NULL AS DOUBLE) AS v FROM region",
     ),
     "bind_dependent": (
         "SELECT ?k ?a ?b WHERE { ?p ex:p_partkey ?k ; ex:p_size ?s BIND(?s + 1 AS ?a) BIND(?a * ?a AS ?b) }",
@@ -186,7 +186,7 @@ QUERIES: dict[str, tuple[str, str]] = {
     ),
     "values_undef": (
         "SELECT ?name ?key WHERE { VALUES (?name ?key) { (\"NATION_1\" UNDEF) (UNDEF 2) (\"NATION_3\" 4) } SERVICE m:nation { ?n ex:n_nationkey ?key ; ex:n_name ?name } }",
-        "SELECT n_name AS name, n_nationkey AS key FROM nation WHERE n_nationkey IN (1, 2)",
+        "SELECT n_name AS name, CAST(n_nationkey AS BIGINT) AS key FROM nation WHERE n_nationkey IN (1, 2)",
     ),
     "values_service": (
         "SELECT ?s ?name WHERE { VALUES ?s { m:nation m:region } SERVICE ?s { ?x a ?t } BIND(STRAFTER(STR(?t), \"org/\") AS ?name) }",
@@ -306,7 +306,7 @@ QUERIES: dict[str, tuple[str, str]] = {
     ),
     "unfold_passthrough": (
         "SELECT ?n ?u WHERE { SERVICE m:region { ?x ex:r_name ?n } UNFOLD(?n AS ?u) }",
-        "SELECT r_name AS n, NULL AS u FROM region",
+        "SELECT r_name AS n, CAST(NULL AS VARCHAR) AS u FROM region",
     ),
     "cdt_get_size": (
         "SELECT ?id (cdt:size(?l) AS ?n) (cdt:get(?l, 1) AS ?first) WHERE { SERVICE m:embeddings { ?e ex:vec_id ?id ; ex:embedding ?l } }",
