@@ -3,7 +3,8 @@
 Labelled page outcomes (bad or not) are counted per host, registered domain and suffix. Each level's rate is
 shrunk to its parent's by a beta-binomial prior: the suffix to the overall rate, the domain to its suffix,
 the host to its domain. The strength of each prior is estimated from the spread of the level's rates. A host
-is blocked when the lower bound of its posterior bad rate is above a limit; rules come before that.
+is blocked when the lower bound of its posterior bad rate is above a limit; rules come before that. A host
+without labels has the posterior of n = 0: the rate of its domain, else of its suffix, else of all.
 """
 
 from __future__ import annotations
@@ -75,8 +76,11 @@ def _shrunk(level: DataFrame, z_cols: list[str], parent: Column, name: str) -> D
 
 
 def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
-    """(host, n, k, bad_rate, bad_low) from labelled outcomes (host, bad 0/1); null outcomes do not count."""
-    counted = outcomes.filter("bad is not null and host is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").cast("long").alias("k"))
+    """(host, n, k, bad_rate, bad_low) of each host of outcomes (host, bad 0/1); null outcomes do not count.
+
+    Hosts with null outcomes only have n = 0 and their parents' rate; an empty host has no parent and gets no row then.
+    """
+    counted = outcomes.filter("host is not null").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("k")).filter("host <> '' or n > 0")
     domain, suffix = registered(F.col("host"))
     hosts = written(counted.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "k"), "hosts")
     up = lambda *by: hosts.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
@@ -92,13 +96,14 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], limit:
     """Verdict of each page (page_id, url) by the longest fitting rule, else by its host's posterior bound.
 
     outcomes: (page_id, bad). Columns: page_id, host, path, rule, verdict, n_labelled, bad_rate, bad_low. A
-    null url, or one without ://, has an empty host and path, and is judged like any other host. Hosts
-    without outcomes are allowed, with nulls in the last three columns. Repeated pages give repeated rows;
-    a page counts as often as it is labelled. Empty tables give no rows, or no reputation.
+    null url, or one without ://, has an empty host and path. Hosts without outcomes have n_labelled 0 and are
+    judged by their domain's rate, else their suffix's, else that of all; an empty host without outcomes is
+    allowed, with nulls in the last two columns. Repeated pages give repeated rows; a page counts as often as
+    it is labelled. Empty tables give no rows; without any outcome all hosts have the rate 0.5.
     """
     host, path = url_parts(F.col("url"))
     parsed = written(pages.select("page_id", host.alias("host"), path.alias("path")), "urls")
-    seen = parsed.join(outcomes.select("page_id", "bad"), "page_id").select("host", "bad")
+    seen = parsed.join(outcomes.select("page_id", "bad"), "page_id", "left").select("host", "bad")
     known = written(host_reputation(seen, z), "reputation").withColumnRenamed("host", "_host")
     rule = matching_rule(F.col("host"), F.col("path"), rules)
     rows = parsed.join(known, F.col("host") == F.col("_host"), "left").withColumn("_rule", rule)

@@ -191,6 +191,24 @@ def test_reputation_shrinks_and_blocks(spark):
     assert by[200]["bad_rate"] > by[100]["bad_rate"]
 
 
+def test_hosts_without_labels_have_their_parents_rate(spark):
+    pages = [(i, f"http://s{i % 6}.bad.com/{i}") for i in range(120)] + [(200 + i, f"http://s{i % 6}.good.org/{i}") for i in range(120)]
+    unseen = [(900, "http://new.bad.com/"), (901, "http://new.good.org/"), (902, "http://x.other.com/"), (903, "http://x.y.net/"), (904, None)]
+    outcomes = [(i, 1) for i in range(120)] + [(200 + i, 0) for i in range(120)] + [(900, None)]
+    out = url_filter.judge_urls(spark.createDataFrame(pages + unseen, "page_id long, url string"), spark.createDataFrame(outcomes, "page_id long, bad int"), [])
+    by = {r["page_id"]: r for r in out.collect()}
+    assert len(by) == len(pages) + len(unseen)
+    assert [by[i]["n_labelled"] for i in range(900, 905)] == [0] * 5
+    assert [by[i]["verdict"] for i in range(900, 905)] == ["block", "allow", "block", "allow", "allow"]
+    # by hand: overall 121 / 242; suffixes differ (strength 1), domains and hosts within them do not (strength 1000)
+    com, org = (120 + 0.5) / 121, 0.5 / 121
+    bad, good = (120 + 1000 * com) / 1120, 1000 * org / 1120
+    for page, rate in [(900, bad), (901, good), (902, com), (903, 0.5)]:
+        assert by[page]["bad_rate"] == pytest.approx(rate, abs=1e-6)
+    assert by[904]["bad_rate"] is None and by[904]["bad_low"] is None
+    assert by[0]["bad_low"] > by[900]["bad_low"]  # labels of its own make a host's bound tighter
+
+
 def test_urls_without_rows(spark):
     out = url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "page_id long, bad int"), [])
     assert out.count() == 0
