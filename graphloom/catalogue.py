@@ -297,7 +297,7 @@ QUERIES: dict[str, tuple[str, str]] = {
         "SELECT vec_id AS id, CAST(len(embedding) AS BIGINT) AS n, floor(CAST(list_max(embedding) AS DOUBLE) * 1000) AS top FROM embeddings",
     ),
     "unfold_list_pos": (
-        "SELECT ?id ?i ?x WHERE { SERVICE m:embeddings { ?e ex:vec_id ?id ; ex:embedding ?l } UNFOLD(?l AS ?x, ?i) FILTER(?i <= 2 && ?id < 50) }",
+        "SELECT ?id ?i ?x WHERE { SERVICE m:embeddings { ?e ex:vec_id ?id ; ex:embedding ?l } UNFOLD(?l AS ?x, ?i) }",
         "SELECT vec_id AS id, i, embedding[i] AS x FROM embeddings, (VALUES (CAST(1 AS BIGINT)), (2)) t(i) WHERE vec_id < 50",
     ),
     "unfold_map": (

@@ -47,6 +47,13 @@ def test_against_duckdb(spark, duck, name):
     assert sorted(tuple(value(r[c]) for c in sorted(columns)) for r in got) == want
 
 
+@needs_tables
+def test_whole_lists_are_unfolded(spark):
+    rows = spark.read.parquet(f"{TABLES}/embeddings.parquet").collect()
+    want = sorted((r["vec_id"], i + 1, x) for r in rows for i, x in enumerate(r["embedding"]))
+    assert sorted(tuple(r) for r in catalogue.queries()["unfold_list_pos"](spark, TABLES).select("id", "i", "x").collect()) == want
+
+
 @needs_tables
 @pytest.mark.parametrize("name", ["bgp_star_merge", "join_chain3", "left_join_filter", "minus", "exists_correlated", "union_mixed_types", "values_service", "vocab_subclass_union", "vocab_l2g", "subselect"])
 def test_rewriting_changes_no_result(spark, name):
