@@ -51,10 +51,11 @@ def valid_arguments(name: Column, arguments: Column, schemas: dict[str, dict[str
 
 
 def _firsts(rows: DataFrame) -> DataFrame:
-    """rows, identical ones once, with `first`: the earliest of their (conversation, identifier)."""
-    rows = rows.dropDuplicates().withColumn("_key", F.concat_ws(" ", F.col("conv_id").cast("string"), "call_id"))
-    rows = rows.withColumn("_at", F.struct("turn", F.xxhash64(*[c for c in rows.columns if c != "_key"]).alias("h")))
-    rows = with_group(rows.withColumn("_row", F.col("_at.h")), "_key", "_row", {"_min": ("min", "_at")})
+    """rows with `first`: whether it is the earliest of its (conversation, identifier); one of identical rows."""
+    at = F.struct("turn", F.xxhash64(*rows.columns).alias("h"), F.col("_row"))
+    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered").withColumn("_at", at)
+    rows = rows.withColumn("_key", F.concat_ws(" ", F.col("conv_id").cast("string"), "call_id"))
+    rows = with_group(rows, "_key", "_row", {"_min": ("min", "_at")})
     return rows.withColumn("first", F.col("_at").eqNullSafe(F.col("_min"))).drop("_at", "_min", "_row")
 
 
@@ -88,8 +89,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str
 
     calls: CALL columns; results: RESULT columns; others are ignored. The first call of an identifier in a
     conversation gets the first result with it (by turn, ties by content). status: linked, unanswered,
-    cycle, or, for what is left over, repeated call, repeated result, orphan result. Identical rows count
-    once; a null identifier links to nothing. Events of a conversation sort by (level, turn).
+    cycle, or, for what is left over, repeated call, repeated result, orphan result. Of identical
+    rows one is the first, the others are repeated; a null identifier links to nothing. Events of a conversation sort by (level, turn).
     """
     calls = written(_firsts(calls.select("conv_id", "turn", "call_id", "name", "arguments", "after")), "calls")
     results = written(_firsts(results.select("conv_id", "turn", "call_id", "content")), "results")

@@ -257,6 +257,15 @@ def test_conversations(spark):
     assert tool_calls.conversation_events(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_identical_rows_stay_as_repeated_events(spark):
+    rows = [(1, 0, "user", "q")] * 3 + [(1, 1, "assistant", "a")] * 2 + [(1, 2, "system", "s")] * 2 + [(1, 5, "assistant", "lone")] * 2
+    got = tool_calls.conversation_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r["turn"], r["status"]) for r in got) == [
+        (0, "linked"), (0, "repeated call"), (0, "repeated call"), (1, "repeated result"), (2, "message"), (2, "message"),
+        (5, "orphan result"), (5, "repeated result"),
+    ]
+
+
 # ---- components
 
 
