@@ -103,13 +103,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     Both have (id, x), x being whole numbers whose products' sums fit a long. A vector with a query's id is no
     candidate for it; ties go to smaller ids; vectors of another length than the query's are no candidates.
-    Rows that repeat an id count once (the same vector is meant). Empty vectors score 0.
+    Each row counts: an id with several vectors is as many candidates, and as a query gets the k best rows of
+    all its vectors together. Empty vectors score 0.
     """
-    vectors = vectors.dropDuplicates(["id"]).withColumn("n", F.size("x"))
-    queries = queries.dropDuplicates(["id"]).withColumn("n", F.size("x"))
+    vectors = vectors.withColumn("n", F.size("x"))
+    queries = queries.withColumn("n", F.size("x"))
     blocks = max(1, -(-vectors.count() // VECTORS))
     asking = max(1, -(-queries.count() // QUERIES))
-    dealt = lambda c, by: F.pmod(F.xxhash64("id", F.lit(by)), F.lit(c)).cast("int")
+    dealt = lambda c, by: F.pmod(F.xxhash64("id", "x", F.lit(by)), F.lit(c)).cast("int")
     spread = lambda c: F.explode(F.sequence(F.lit(0), F.lit(c - 1)))
     left = vectors.select(dealt(blocks, "v").alias("block"), spread(asking).alias("asking"), "n", F.lit(False).alias("asks"), "id", "x")
     right = queries.select(spread(blocks).alias("block"), dealt(asking, "q").alias("asking"), "n", F.lit(True).alias("asks"), "id", "x")
@@ -126,6 +127,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
 
 def search(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
-    """top_k() of the rows whose vec_id is divisible by `every`, against all rows of (vec_id, embedding)."""
-    x = quantised(vectors)
+    """top_k() of the rows whose vec_id is divisible by `every`, against all rows of (vec_id, embedding).
+
+    Rows that repeat an id with the same vector count once.
+    """
+    x = quantised(vectors.select("vec_id", "embedding").dropDuplicates())
     return top_k(x, x.filter(F.col("id") % every == 0), k)

@@ -324,6 +324,22 @@ def test_top_k_against_brute_force(spark, monkeypatch):
         assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
 
 
+def test_top_k_keeps_all_vectors_of_an_id(spark, monkeypatch):
+    monkeypatch.setattr(topk, "VECTORS", 16)
+    monkeypatch.setattr(topk, "QUERIES", 2)
+    rng = np.random.default_rng(5)
+    rows = [(i % 60, [float(x) for x in rng.integers(-90, 91, 4) / 256]) for i in range(180)]
+    rows += [(7, [0.5, 0.5, 0.5, j / 256]) for j in range(3)]
+    got = {}
+    for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    v = [(i, np.floor(256 * np.float32(x).astype(float)).astype(int)) for i, x in rows]
+    assert set(got) == {0, 50}
+    for q in got:
+        want = sorted((-int(a @ b), i) for j, a in v if j == q for i, b in v if i != q)[:5]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+
+
 def test_top_k_stops_early():
     rng = np.random.default_rng(1)
     v = rng.normal(size=(4000, 3))
