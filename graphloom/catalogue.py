@@ -238,11 +238,11 @@ QUERIES: dict[str, tuple[str, str]] = {
     ),
     "topk": ("SELECT ?c ?b WHERE { ?x ex:c_custkey ?c ; ex:c_acctbal ?b } ORDER BY DESC(?b) ASC(?c) LIMIT 20", "SELECT c_custkey AS c, c_acctbal AS b FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20"),
     "order_unbound_first": (
-        "SELECT ?id ?q WHERE { SERVICE m:documents { ?d ex:doc_id ?id } OPTIONAL { SERVICE m:labels { ?d ex:quality ?q } } } ORDER BY ?q ?id LIMIT 30",
+        "SELECT ?id ?q WHERE { SERVICE m:documents { ?d ex:doc_id ?id } OPTIONAL { SERVICE m:labels { ?d ex:quality ?q } } } ORDER BY ?q ?id",
         "SELECT d.doc_id AS id, quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY quality ASC NULLS FIRST, d.doc_id LIMIT 30",
     ),
     "distinct_ordered": (
-        "SELECT DISTINCT ?b ?s WHERE { ?p ex:p_brand ?b ; ex:p_size ?s } ORDER BY DESC(?s) ?b LIMIT 15",
+        "SELECT DISTINCT ?b ?s WHERE { ?p ex:p_brand ?b ; ex:p_size ?s } ORDER BY DESC(?s) ?b",
         "SELECT DISTINCT p_brand AS b, p_size AS s FROM part ORDER BY p_size DESC, p_brand LIMIT 15",
     ),
     "subselect": (

@@ -207,7 +207,7 @@ QUERIES: dict[str, tuple[str, str]] = {
         f"SELECT '{EX}name' AS p, (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS n UNION ALL SELECT '{EX}in', count(*) FROM nation UNION ALL SELECT '{EX}key', count(*) FROM nation",
     ),
     "triples_numeric_order": (
-        "SELECT ?n ?k WHERE { SERVICE m:triples { ?x ex:key ?k ; ex:name ?n } } ORDER BY DESC(?k) LIMIT 7",
+        "SELECT ?n ?k WHERE { SERVICE m:triples { ?x ex:key ?k ; ex:name ?n } } ORDER BY DESC(?k)",
         "SELECT n_name AS n, CAST(n_nationkey AS VARCHAR) AS k FROM nation ORDER BY n_nationkey DESC LIMIT 7",
     ),
     "named_graph": (

@@ -54,6 +54,18 @@ def test_whole_lists_are_unfolded(spark):
     assert sorted(tuple(r) for r in catalogue.queries()["unfold_list_pos"](spark, TABLES).select("id", "i", "x").collect()) == want
 
 
+@needs_tables
+def test_ordered_queries_return_all_rows(spark):
+    table = lambda name: spark.read.parquet(f"{TABLES}/{name}.parquet").collect()
+    rows = lambda name, *columns: [tuple(r) for r in catalogue.queries()[name](spark, TABLES).select(*columns).collect()]
+    quality = {r["doc_id"]: r["quality"] for r in table("labels")}
+    docs = [(r["doc_id"], quality.get(r["doc_id"])) for r in table("documents")]
+    got = rows("order_unbound_first", "id", "q")
+    assert got == sorted(docs, key=lambda r: (-1 if r[1] is None else r[1], r[0])) and {q for _, q in got} == {None, 0, 1}
+    assert rows("distinct_ordered", "s", "b") == sorted({(r["p_size"], r["p_brand"]) for r in table("part")}, key=lambda r: (-r[0], r[1]))
+    assert [n for n, _ in rows("triples_numeric_order", "n", "k")] == [r["n_name"] for r in sorted(table("nation"), key=lambda r: -r["n_nationkey"])]
+
+
 @needs_tables
 @pytest.mark.parametrize("name", ["bgp_star_merge", "join_chain3", "left_join_filter", "minus", "exists_correlated", "union_mixed_types", "values_service", "vocab_subclass_union", "vocab_l2g", "subselect"])
 def test_rewriting_changes_no_result(spark, name):
