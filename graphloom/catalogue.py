@@ -239,11 +239,11 @@ QUERIES: dict[str, tuple[str, str]] = {
     "topk": ("SELECT ?c ?b WHERE { ?x ex:c_custkey ?c ; ex:c_acctbal ?b } ORDER BY DESC(?b) ASC(?c) LIMIT 20", "SELECT c_custkey AS c, c_acctbal AS b FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20"),
     "order_unbound_first": (
         "SELECT ?id ?q WHERE { SERVICE m:documents { ?d ex:doc_id ?id } OPTIONAL { SERVICE m:labels { ?d ex:quality ?q } } } ORDER BY ?q ?id",
-        "SELECT d.doc_id AS id, quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY quality ASC NULLS FIRST, d.doc_id LIMIT 30",
+        "SELECT d.doc_id AS id, quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY quality ASC NULLS FIRST, d.doc_id",
     ),
     "distinct_ordered": (
         "SELECT DISTINCT ?b ?s WHERE { ?p ex:p_brand ?b ; ex:p_size ?s } ORDER BY DESC(?s) ?b",
-        "SELECT DISTINCT p_brand AS b, p_size AS s FROM part ORDER BY p_size DESC, p_brand LIMIT 15",
+        "SELECT DISTINCT p_brand AS b, p_size AS s FROM part ORDER BY p_size DESC, p_brand",
     ),
     "subselect": (
         "SELECT ?name ?n WHERE { ?c ex:c_name ?name { SELECT ?c (COUNT(*) AS ?n) WHERE { ?o ex:o_customer ?c } GROUP BY ?c HAVING (COUNT(*) >= 12) } }",
@@ -298,7 +298,7 @@ QUERIES: dict[str, tuple[str, str]] = {
     ),
     "unfold_list_pos": (
         "SELECT ?id ?i ?x WHERE { SERVICE m:embeddings { ?e ex:vec_id ?id ; ex:embedding ?l } UNFOLD(?l AS ?x, ?i) }",
-        "SELECT vec_id AS id, i, embedding[i] AS x FROM embeddings, (VALUES (CAST(1 AS BIGINT)), (2)) t(i) WHERE vec_id < 50",
+        "SELECT vec_id AS id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding) AS x FROM embeddings",
     ),
     "unfold_map": (
         "SELECT ?n ?k ?v WHERE { SERVICE m:nation { ?x ex:n_name ?n ; ex:n_nationkey ?key ; ex:n_regionkey ?r } BIND(cdt:Map(\"key\", ?key, \"region\", ?r) AS ?map) UNFOLD(?map AS ?k, ?v) }",

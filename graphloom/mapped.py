@@ -208,7 +208,7 @@ QUERIES: dict[str, tuple[str, str]] = {
     ),
     "triples_numeric_order": (
         "SELECT ?n ?k WHERE { SERVICE m:triples { ?x ex:key ?k ; ex:name ?n } } ORDER BY DESC(?k)",
-        "SELECT n_name AS n, CAST(n_nationkey AS VARCHAR) AS k FROM nation ORDER BY n_nationkey DESC LIMIT 7",
+        "SELECT n_name AS n, CAST(n_nationkey AS VARCHAR) AS k FROM nation ORDER BY n_nationkey DESC",
     ),
     "named_graph": (
         "SELECT ?n WHERE { SERVICE m:triples { GRAPH <http://ex.org/g/nations> { ?x ex:name ?n } } }",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import terms as T
 from graphloom.functions.terms import Term
 from graphloom.operators import relation as R
-from graphloom.operators.scratch import saved
+from graphloom.operators.scratch import discard, written
 from graphloom.plans import algebra as A
 from graphloom.sources.views import Member
 
@@ -81,12 +81,13 @@ def _same(spark: SparkSession, member: Member, start: Term | None, end: Term | N
 def _closure(edges: R.Rel) -> R.Rel:
     """All pairs that one or more edges connect: paths double in length with each round."""
     a, b = R.column_name(S), R.column_name(O)
-    now = saved(edges.df.select(a, b), "closure")
+    now = written(edges.df.select(a, b), "closure")
     size = now.count()
     while True:
         longer = now.alias("x").join(now.alias("y"), F.col(f"x.{b}") == F.col(f"y.{a}")).select(F.col(f"x.{a}"), F.col(f"y.{b}"))
-        after = saved(now.unionByName(longer).distinct(), "closure")
+        after = written(now.unionByName(longer).distinct(), "closure")
         n = after.count()
+        discard(now)
         if n == size:
             return R.Rel(after, dict(edges.descs), frozenset({S, O}))
         now, size = after, n
@@ -96,13 +97,20 @@ def _reached(edges: R.Rel, fixed: Term, backwards: bool) -> R.Rel:
     """Pairs of a fixed term with all that edges lead to from it (or from which they lead to it)."""
     a, b = R.column_name(S), R.column_name(O)
     near, far = (b, a) if backwards else (a, b)
-    edge = saved(edges.df.select(a, b), "edges")
-    seen = saved(edge.filter(F.col(near) == T.dynamic(fixed)).select(F.col(far).alias("t")).distinct(), "seen")
+    edge = written(edges.df.select(a, b), "edges")
+    seen = written(edge.filter(F.col(near) == T.dynamic(fixed)).select(F.col(far).alias("t")).distinct(), "seen")
     front = seen
     while not front.isEmpty():
         step = front.join(edge, F.col("t") == F.col(near)).select(F.col(far).alias("t")).distinct()
-        front = saved(step.join(seen.withColumnRenamed("t", "k"), F.col("t") == F.col("k"), "left_anti"), "front")
-        seen = saved(seen.unionByName(front), "seen")
+        new = written(step.join(seen.withColumnRenamed("t", "k"), F.col("t") == F.col("k"), "left_anti"), "front")
+        longer = written(seen.unionByName(new), "seen")
+        if front is not seen:
+            discard(front)
+        discard(seen)
+        front, seen = new, longer
+    if front is not seen:
+        discard(front)
+    discard(edge)
     one = Term(T.DYN, T.dynamic(fixed))
     ends = {near: one, far: Term(T.DYN, F.col("t"))}
     return R.made(seen, {S: ends[a], O: ends[b]}, {S, O})
