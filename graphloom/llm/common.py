@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import re
 import sys
-import uuid
 
-from pyspark import SparkContext, cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.scratch import discard, written
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Words are maximal runs of anything but these bytes; bytes.split() without arguments uses the same six.
@@ -20,56 +19,32 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SALTS = 128
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by the session; the warehouse where it names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return root.rstrip("/")
-
-
-#: Tables made by this driver. Lazy results may read them until it ends.
-_MADE: list[str] = []
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    if not _MADE:
-        atexit.register(sweep)
-    _MADE.append(f"{scratch_root(spark)}/graphloom-{name}-{uuid.uuid4().hex}")
-    return _MADE[-1]
-
+def release(df: DataFrame) -> None:
+    """Lets Spark delete shuffle files of finished jobs, which it does once the driver refers to them no more."""
+    import gc
 
-def sweep() -> None:
-    """Deletes all tables that this driver has made and not yet deleted; done anyway when it ends."""
-    jvm = SparkContext._jvm
-    while _MADE:
-        path = _MADE.pop()
-        with contextlib.suppress(Exception):  # the JVM may be gone, or the table
-            _delete(jvm, path, jvm.org.apache.hadoop.conf.Configuration())
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
 
 
-def _delete(jvm, path: str, conf) -> None:
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(conf).delete(hadoop, True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._graphloom_path = path
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, made unlike every column of df; Spark does not tell capitals from small letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes a table made by written(), once nothing reads it any more."""
-    path = getattr(df, "_graphloom_path", None)
-    if path is None:
-        return
-    spark = df.sparkSession
-    _delete(spark._jvm, path, spark._jsc.hadoopConfiguration())
-    if path in _MADE:
-        _MADE.remove(path)
+def one_row_each(df: DataFrame, keys: list[Column]) -> DataFrame:
+    """One row of df for each value of the keys, nulls being alike: the one that is least as JSON."""
+    row, text, *names = fresh(df, "row", "json", *(f"key{i}" for i in range(len(keys))))
+    whole = F.struct(*(df[c] for c in df.columns))
+    rows = df.select(*(k.alias(n) for k, n in zip(keys, names, strict=True)), whole.alias(row), F.to_json(whole).alias(text))
+    return rows.groupBy(*names).agg(F.min_by(row, text).alias(row)).select(f"{row}.*")
 
 
 def ascii_lower(column: Column) -> Column:
@@ -103,6 +78,17 @@ def with_group(df: DataFrame, key: str, row: str, aggs: dict[str, tuple[str, str
     return cells.join(back, keys).drop("_salt")
 
 
+def looked_up(df: DataFrame, key: str, row: str, table: DataFrame, salts: int = SALTS) -> DataFrame:
+    """df joined with a table that has each key once (inner), without ever gathering a hot key's rows in one task.
+
+    The table goes to the cells (key, salt of row) that df has, `salts` for each key at most.
+    """
+    (salt,) = fresh(df, "_salt")
+    cells = df.withColumn(salt, salt_of(F.col(row), salts))
+    back = cells.select(key, salt).distinct().join(table, key)
+    return cells.join(back, [key, salt]).drop(salt)
+
+
 def slices(batches, rows: int = 500):
     """Record batches of fewer rows, so that what is made of a batch's texts stays small."""
     for b in batches:

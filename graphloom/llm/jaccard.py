@@ -3,9 +3,10 @@
 Documents with the same set of word shingles form one class, whose first document represents it. MinHash bands
 name candidate pairs of representatives; pairs are compared a few hash values at a time, and dropped when the
 posterior probability of a similarity of at least the threshold falls below a tolerance. What survives is
-verified on the sets themselves. Large buckets are cut into blocks, and pairs of blocks are compared in cells
+verified on the sets themselves (of 64-bit ranks of shingles). Large buckets are cut into blocks, and pairs of blocks are compared in cells
 of bounded size; a pair is looked at further only in the first band that it shares. No pair becomes a row: a
-cell returns one row for each of its documents.
+cell returns one row for each of its documents. A bucket of n documents with n different sets costs n * n / 2
+comparisons of signatures, whose rows are copied n / BLOCK times; exact copies cost nothing, as one stands for all.
 
 A pair at the threshold shares no band with probability (1 - 0.8^4)^32 < 1e-7; pruning loses fewer than
 TOLERANCE of such pairs at each of its steps.
@@ -22,9 +23,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import discard, slices, with_group, written
+from graphloom.llm.common import discard, fresh, one_row_each, release, slices, with_group, written
 from graphloom.llm.components import components
-from graphloom.llm.repeats import release
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -33,8 +33,8 @@ ROWS, BANDS = 4, 32
 HASHES = ROWS * BANDS
 #: Hash values compared between two looks at the posterior, and the posterior below which a pair is dropped.
 STEP, TOLERANCE = 16, 1e-6
-#: Documents of a block; a cell holds two blocks at most.
-BLOCK = 512
+#: Documents of a block, and their shingles (8 bytes each), about; a cell holds two blocks at most.
+BLOCK, BLOCK_SHINGLES = 512, 4_000_000
 
 
 def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
@@ -92,7 +92,8 @@ def _sketched(batches):
         for d, s in zip(digests, sets, strict=True):
             if d is not None and d not in known:
                 known[d] = signature(s, factors).tobytes()
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "tag")), pa.array(digests, pa.binary()), pa.array([known.get(d) for d in digests], pa.binary())], ["doc_id", "tag", "digest", "sig"])
+        made = [pa.array(digests, pa.binary()), pa.array([known.get(d) for d in digests], pa.binary()), pa.array([len(x) for x in sets], pa.int64())]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "tag")), *made], ["doc_id", "tag", "digest", "sig", "n_shingles"])
 
 
 def _banded(batches):
@@ -104,7 +105,7 @@ def _banded(batches):
             key ^= key >> np.uint64(29)
         values = pa.array(key.view(np.int64).ravel())
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype=np.int32) * BANDS), values)
-        yield pa.RecordBatch.from_arrays([b.column("uid"), lists], ["uid", "bands"])
+        yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("n_shingles"), lists], ["uid", "n_shingles", "bands"])
 
 
 def _groups(batches, key: str):
@@ -212,20 +213,21 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     least 0.8; classes are the connected components, named by their least doc_id. n_links counts all linked
     documents, copies too. Texts of fewer words are one shingle; texts without words, and nulls, are linked
     with nothing. first marks one row of each class, of the least doc_id. Rows that repeat an id are documents
-    of their own. tag is a hash of the text, to find the row again.
+    of their own. tag is a hash of the text, to find the row again. Long texts are shingled whole; other columns,
+    whatever their names, are ignored.
     """
     keyed = docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tag"), "text")
-    schema = "doc_id long, tag long, digest binary, sig binary"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tag long, digest binary, sig binary, n_shingles long"
     sketches = written(keyed.mapInArrow(_sketched, schema).withColumn("uid", F.monotonically_increasing_id()), "sketches")
     worded = with_group(sketches.filter("digest is not null").select("uid", "doc_id", "tag", "digest"), "digest", "uid", {"rep": ("min", "uid"), "size": ("count", "uid")})
     members = written(worded.select("uid", "doc_id", "tag", "rep", "size"), "members")
     heads = members.filter("uid = rep").select("uid", "size")
-    sets = written(sketches.select("uid", "sig").join(heads, "uid"), "sets")
-    bands = sets.mapInArrow(_banded, "uid long, bands array<long>").select("uid", F.posexplode("bands").alias("band", "key"))
+    sets = written(sketches.select("uid", "sig", "n_shingles").join(heads, "uid"), "sets")
+    bands = sets.mapInArrow(_banded, "uid long, n_shingles long, bands array<long>").select("uid", "n_shingles", F.posexplode("bands").alias("band", "key"))
     bands = written(bands, "bands")
-    full = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    placed = bands.join(full, ["band", "key"])
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    full = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("all")).filter("n > 1")
+    placed = bands.drop("n_shingles").join(full, ["band", "key"])
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.least("n", F.col("all") / BLOCK_SHINGLES))).cast("int")
     placed = placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("uid", F.lit(3)), F.col("blocks")).cast("int"))
     cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = F.xxhash64("band", "key", F.least("block", "other"), F.greatest("block", "other"))
@@ -260,10 +262,13 @@ def _repeats(keyed: DataFrame) -> bool:
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
-    """One row of docs for each class of similar documents, that of the least doc_id; with docs' columns."""
-    kept = similar_classes(docs).filter("first").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.coalesce(F.xxhash64("text"), F.lit(0)).eqNullSafe(F.col("_tag"))
-    rows = docs.join(kept, same, "left_semi")
-    if not _repeats(docs):
-        return rows
-    return rows.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    """One row of docs for each class of similar documents, that of the least doc_id; with all of docs' columns.
+
+    Columns may have any names. Rows that repeat a doc_id with one text are alike: of those the one that is least
+    as JSON stands for all. Rows whose text has no words, or is null, all stay, but for such repeats.
+    """
+    kept_id, kept_tag = fresh(docs, "_id", "_tag")
+    tag = F.coalesce(F.xxhash64(docs["text"]), F.lit(0))
+    kept = similar_classes(docs).filter("first").select(F.col("doc_id").alias(kept_id), F.col("tag").alias(kept_tag))
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept[kept_id]) & tag.eqNullSafe(kept[kept_tag]), "left_semi")
+    return one_row_each(rows, [rows["doc_id"], F.xxhash64(rows["text"])]) if _repeats(docs) else rows

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WORD_PATTERN, discard, unit, written
+from graphloom.llm.common import WORD_PATTERN, discard, fresh, one_row_each, unit, written
 
 #: Documents folded by one task step; the tree's fan-in.
 FAN_IN = 64
@@ -66,48 +66,61 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: f
     return table.select("source", "source_size", "n_docs", target.cast("double").alias("target"))
 
 
-_ITEM = "struct<id:bigint,size:bigint,p:double,base:bigint>"
+_FIELDS = ("key", "id", "tag", "nth", "size", "p", "base")
+
+
+def _item(id_type: str) -> str:
+    return f"struct<key:bigint,id:{id_type},tag:bigint,nth:bigint,size:bigint,p:double,base:bigint>"
+
+
+def _changed(item: str, p: str) -> str:
+    """SQL of an item with another p."""
+    return "named_struct(" + ", ".join(f"'{f}', {p if f == 'p' else f'{item}.{f}'}" for f in _FIELDS) + ")"
+
 
 #: One step of the fold: state s (current item s.cur, finished items s.done), next item x.
 _MERGE = f"""
 (s, x) -> if(s.cur is null, named_struct('cur', x, 'done', s.done),
-  element_at(transform(array(named_struct(
-      'up', least((1 - s.cur.p) * s.cur.size, x.p * x.size),
-      'down', least(s.cur.p * s.cur.size, (1 - x.p) * x.size),
-      'u', shiftrightunsigned(xxhash64(s.cur.id, x.id, {{seed}}, {{level}}), 11) / 9007199254740992D)),
-    m -> element_at(transform(array(if(m.u * (m.up + m.down) < m.down,
-        named_struct(
-          'a', if((1 - s.cur.p) * s.cur.size <= x.p * x.size, 1D, s.cur.p + m.up / s.cur.size),
-          'b', if(x.p * x.size <= (1 - s.cur.p) * s.cur.size, 0D, x.p - m.up / x.size)),
-        named_struct(
-          'a', if(s.cur.p * s.cur.size <= (1 - x.p) * x.size, 0D, s.cur.p - m.down / s.cur.size),
-          'b', if((1 - x.p) * x.size <= s.cur.p * s.cur.size, 1D, x.p + m.down / x.size)))),
-      w -> named_struct(
-        'cur', cast(case when w.a > 0 and w.a < 1 then named_struct('id', s.cur.id, 'size', s.cur.size, 'p', w.a, 'base', s.cur.base)
-                         when w.b > 0 and w.b < 1 then named_struct('id', x.id, 'size', x.size, 'p', w.b, 'base', x.base) end as {_ITEM}),
-        'done', concat(s.done,
-          if(w.a > 0 and w.a < 1, array(), array(named_struct('id', s.cur.id, 'size', s.cur.size, 'p', w.a, 'base', s.cur.base))),
-          if(w.b > 0 and w.b < 1, array(), array(named_struct('id', x.id, 'size', x.size, 'p', w.b, 'base', x.base)))))), 1)), 1))
+ element_at(transform(array(named_struct(
+     'up', least((1 - s.cur.p) * s.cur.size, x.p * x.size),
+     'down', least(s.cur.p * s.cur.size, (1 - x.p) * x.size),
+     'u', shiftrightunsigned(xxhash64(s.cur.key, x.key, {{seed}}, {{level}}), 11) / 9007199254740992D)),
+   m -> element_at(transform(array(if(m.u * (m.up + m.down) < m.down,
+       named_struct(
+         'a', if((1 - s.cur.p) * s.cur.size <= x.p * x.size, 1D, s.cur.p + m.up / s.cur.size),
+         'b', if(x.p * x.size <= (1 - s.cur.p) * s.cur.size, 0D, x.p - m.up / x.size)),
+       named_struct(
+         'a', if(s.cur.p * s.cur.size <= (1 - x.p) * x.size, 0D, s.cur.p - m.down / s.cur.size),
+         'b', if((1 - x.p) * x.size <= s.cur.p * s.cur.size, 1D, x.p + m.down / x.size)))),
+     w -> named_struct(
+       'cur', cast(case when w.a > 0 and w.a < 1 then {_changed("s.cur", "w.a")}
+                        when w.b > 0 and w.b < 1 then {_changed("x", "w.b")} end as {{item}}),
+       'done', concat(s.done,
+         if(w.a > 0 and w.a < 1, array(), array({_changed("s.cur", "w.a")})),
+         if(w.b > 0 and w.b < 1, array(), array({_changed("x", "w.b")}))))), 1)), 1))
 """
 
 
 def pivotal_round(items: DataFrame, largest: int, seed: int = 7, fan_in: int = FAN_IN) -> DataFrame:
-    """items (source, id, size > 0, p in (0, 1), base): the same rows with p rounded to 0 or 1.
+    """items (source, key, id, tag, nth, size > 0, p in (0, 1), base): the same rows with p rounded to 0 or 1.
 
-    largest: the number of items of the largest source, from which the depth of the tree follows. Keeps each
-    source's sum of p * size to within one item; the expectation of each p is its old value.
+    key: a hash of the item, which deals it out and decides ties. largest: the number of items of the largest
+    source, from which the depth of the tree follows. Keeps each source's sum of p * size to within one item; the
+    expectation of each p is its old value.
     """
     done, open_, level = [], items, 0
-    item = F.struct(F.col("id").cast("long").alias("id"), F.col("size").cast("long").alias("size"), F.col("p").cast("double").alias("p"), F.col("base").cast("long").alias("base"))
+    kind = _item(items.schema["id"].dataType.simpleString())
+    item = F.struct(*_FIELDS).cast(kind)
     while True:
         buckets = max(1, math.ceil(largest / fan_in))
-        groups = open_.groupBy("source", F.pmod(F.xxhash64("id", F.lit(seed + level)), F.lit(buckets)).alias("bucket")).agg(F.array_sort(F.collect_list(item)).alias("items"))
-        start = f"named_struct('cur', cast(null as {_ITEM}), 'done', cast(array() as array<{_ITEM}>))"
-        folded = written(groups.select("source", F.expr(f"aggregate(items, {start}, {_MERGE.format(seed=seed, level=level)})").alias("s")), f"pivot{level}")
+        groups = open_.groupBy("source", F.pmod(F.xxhash64("key", F.lit(seed + level)), F.lit(buckets)).alias("bucket")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+        start = f"named_struct('cur', cast(null as {kind}), 'done', cast(array() as array<{kind}>))"
+        step = _MERGE.format(seed=seed, level=level, item=kind)
+        folded = written(groups.select("source", F.expr(f"aggregate(items, {start}, {step})").alias("s")), f"pivot{level}")
         done.append(folded.select("source", F.explode("s.done").alias("i")).select("source", "i.*"))
         open_ = folded.filter("s.cur is not null").select("source", "s.cur.*")
         if buckets == 1:
-            u = unit(F.col("id"), F.lit(seed), F.lit(-1))
+            u = unit(F.col("key"), F.lit(seed), F.lit(-1))
             done.append(open_.withColumn("p", F.when(u < F.col("p"), 1.0).otherwise(0.0)).select(*done[0].columns))
             break
         largest, level = buckets, level + 1
@@ -117,14 +130,30 @@ def pivotal_round(items: DataFrame, largest: int, seed: int = 7, fan_in: int = F
     return out
 
 
+#: Repeats of a row that one array numbers.
+_RUN = 4096
+
+
+def _units(docs: DataFrame) -> DataFrame:
+    """(id, source, tag, size, nth, key) of each row; nth numbers rows that are alike in all else, from 0."""
+    text = F.coalesce(F.xxhash64("text"), F.lit(0))
+    rows = docs.select(F.col("doc_id").alias("id"), "source", text.alias("tag"), word_count(F.col("text")).alias("size"))
+    alike = rows.groupBy("id", "source", "tag", "size").agg(F.count(F.lit(1)).alias("n"))
+    runs = alike.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {_RUN}"))))
+    in_run = F.sequence(F.col("run") * _RUN, F.least(F.col("n"), (F.col("run") + 1) * _RUN) - 1)
+    units = runs.select("id", "source", "tag", "size", F.explode(in_run).alias("nth"))
+    return units.withColumn("key", F.xxhash64("id", "tag", "nth"))
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 7) -> DataFrame:
-    """Copies of each document in the mix: doc_id, source, size, source_size, target, copies, taken.
+    """Copies of each row in the mix: doc_id, source, tag, size, source_size, target, copies, taken.
 
-    Rows that share doc_id and source are one document, whose size is the sum of theirs. A null text has
-    size 0, and a document of size 0 takes nothing. A null source is a source. Reruns give the same rows.
+    Every row is a document, repeated ones too, each with its own copies; tag is a hash of the text. A null text
+    has size 0, and a document of size 0 takes nothing. A null source is a source. Long texts are counted whole;
+    other columns, whatever their names, are ignored. Reruns give the same rows, however the table is dealt:
+    ties of the fold go by a hash of id and text, then by all fields.
     """
-    sizes = docs.select(F.col("doc_id").cast("long").alias("id"), "source", word_count(F.col("text")).alias("size"))
-    units = written(sizes.groupBy("id", "source").agg(F.sum("size").alias("size")), "sizes")
+    units = written(_units(docs), "sizes")
     targets = written(source_targets(units, weights, most), "targets")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
     rates = targets.select("source", "source_size", "target", F.floor(rate).alias("base"), (rate - F.floor(rate)).alias("p"))
@@ -134,17 +163,32 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     # a rate of 2.999... by rounding of doubles is as good as whole: the fold moves it like any other
     open_ = rows.filter("size > 0 and p > 0")
     largest = targets.agg(F.max("n_docs")).first()[0] or 0
-    rounded = pivotal_round(open_.select("source", "id", "size", "p", "base"), largest, seed)
-    whole = rows.filter("not (size > 0 and p > 0)").select("source", "id", "size", F.lit(0.0).alias("p"), "base")
+    rounded = pivotal_round(open_.select("source", *_FIELDS), largest, seed)
+    whole = rows.filter("not (size > 0 and p > 0)").withColumn("p", F.lit(0.0)).select("source", *_FIELDS)
     copies = (F.col("base") + F.col("p")).cast("long")
     s = targets.select(F.col("source").alias("_source"), "source_size", "target")
     out = rounded.unionByName(whole)
     out = out.join(s, out["source"].eqNullSafe(s["_source"]))
-    return out.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(0).alias("copies"), F.when(F.col("size") > 0, copies * F.col("size")).otherwise(0).cast("long").alias("taken"))
+    copies = F.when(F.col("size") > 0, copies).otherwise(0)
+    return out.select(F.col("id").alias("doc_id"), "source", "tag", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 7) -> DataFrame:
-    """docs with each row repeated as often as the mix takes its document; documents of size 0 stay once."""
-    plan = mix_sources(docs, weights, most, seed).select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.when(F.col("size") > 0, F.col("copies")).otherwise(1).cast("int").alias("_copies"))
-    joined = docs.join(plan.filter("_copies > 0"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(plan["_src"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """docs with each row repeated as often as the mix takes its document; documents of size 0 stay once.
+
+    With all of docs' columns, whatever their names. Rows alike in id, source and text are taken as often as the
+    mix takes all of them, each time as the one of them that is least as JSON.
+    """
+    plan = mix_sources(docs, weights, most, seed)
+    id_, source, tag, copies, copy = fresh(docs, "_id", "_src", "_tag", "_copies", "_copy")
+    each = F.when(F.col("size") > 0, F.col("copies")).otherwise(1)
+    plan = plan.groupBy(F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("tag").alias(tag)).agg(F.sum(each).cast("int").alias(copies), F.count(F.lit(1)).alias("n"))
+    plan = written(plan.filter(F.col(copies) > 0), "copies")
+    text = F.coalesce(F.xxhash64(docs["text"]), F.lit(0))
+    if not plan.filter("n > 1").isEmpty():
+        docs = one_row_each(docs, [docs["doc_id"], docs["source"], text])
+        text = F.coalesce(F.xxhash64(docs["text"]), F.lit(0))
+    same = docs["doc_id"].eqNullSafe(plan[id_]) & docs["source"].eqNullSafe(plan[source]) & text.eqNullSafe(plan[tag])
+    joined = docs.join(plan.drop("n"), same)
+    repeated = joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    return repeated.drop(id_, source, tag, copies, copy)

@@ -26,7 +26,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import discard, slices, with_group, written
+from graphloom.llm.common import discard, release, slices, with_group, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 

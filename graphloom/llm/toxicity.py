@@ -1,8 +1,8 @@
 """Toxicity scores by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are the sets of words, neighbouring pairs and pairs with one word between, hashed into 2^BITS
-coordinates. Learning reads a bounded sample of the labelled rows (SAMPLE of them, about; the smallest
-hashes of their ids) in one task, in the order of those hashes. L1 leaves a few hundred coordinates of 2^BITS, whose
+coordinates. Learning reads a bounded sample of the labelled rows (SAMPLE of them, about, with SAMPLE_FEATURES
+features in all; the smallest hashes of their ids) in one task, in the order of those hashes. L1 leaves a few hundred coordinates of 2^BITS, whose
 weights are fitted again without it and broadcast; every document is then scored, whole, where it lies.
 """
 
@@ -18,14 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import slices
+from graphloom.llm.common import fresh, slices, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Coordinates are 2^BITS; weights take 4 bytes each at most.
 BITS = 20
-#: Labelled rows that learning reads, about (the sample is drawn by hash).
-SAMPLE = 16384
+#: Labelled rows that learning reads, about (the sample is drawn by hash), and the features of all of them (4 bytes
+#: each): learning holds them in memory.
+SAMPLE, SAMPLE_FEATURES = 16384, 32_000_000
 #: Passes over the sample: with L1, and then over the coordinates that it chose.
 EPOCHS, REFITS = 6, 20
 ALPHA, BETA, L2 = 1.0, 1.0, 0.01
@@ -81,8 +82,9 @@ def sigmoid(x):
 def _featured(batches):
     for b in slices(batches):
         texts = b.column("text").cast(pa.large_binary()).to_pylist()
-        lists = pa.array([features(t) for t in texts], pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([b.column("at"), b.column("label"), lists], ["at", "label", "found"])
+        sets = [features(t) for t in texts]
+        lists, ties = pa.array(sets, pa.list_(pa.int32())), pa.array([zlib.crc32(x.tobytes()) for x in sets], pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column("at"), b.column("label"), ties, lists], ["at", "label", "tie", "found"])
 
 
 def _learned(l1: float):
@@ -120,8 +122,14 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarr
     rate = min(1.0, sample / n) if n else 1.0
     at = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("toxicity")), 11)
     drawn = rows.withColumn("at", at).filter(F.col("at") < F.lit(int(rate * (1 << 53)))).select("at", "label", "text")
-    lists = drawn.mapInArrow(_featured, "at long, label int, found array<int>")
-    lists = lists.repartition(1).sortWithinPartitions("at", "label")
+    lists = written(drawn.mapInArrow(_featured, "at long, label int, tie long, found array<int>"), "sample")
+    total = 0
+    for r in lists.select("at", F.size("found").alias("n")).orderBy("at").collect():  # SAMPLE rows, about
+        total += r["n"]
+        if total > SAMPLE_FEATURES:
+            lists = lists.filter(F.col("at") < r["at"])
+            break
+    lists = lists.repartition(1).sortWithinPartitions("at", "label", "tie")
     got = lists.mapInArrow(_learned(L1_ROOT * min(n, sample) ** 0.5), "at int, weight float").toPandas()
     bias = got.loc[got["at"] < 0, "weight"]
     got = got[got["at"] >= 0]
@@ -175,6 +183,10 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that score below the threshold, with docs' columns."""
-    scored = score(docs, fit(train_rows(docs, labels)), to="_toxicity")
-    return scored.filter(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
+    """The rows of docs that score below the threshold, with all of docs' columns, whatever their names.
+
+    Null and empty texts, long ones, repeated rows and missing labels: as in score_documents().
+    """
+    (to,) = fresh(docs, "_toxicity")
+    scored = score(docs, fit(train_rows(docs, labels)), to=to)
+    return scored.filter(F.col(to) < THRESHOLD).drop(to)

@@ -33,14 +33,15 @@ def test_with_group_equals_plain_aggregates(spark):
 
 
 def test_sweep_deletes_what_is_left(spark):
-    from graphloom.llm import common
-
-    kept, gone = common.written(spark.range(3), "a"), common.written(spark.range(3), "b")
-    common.discard(gone)
-    common.discard(spark.range(1))
-    assert kept.count() == 3 and any("graphloom-a-" in p for p in common._MADE) and not any("graphloom-b-" in p for p in common._MADE)
-    common.sweep()
-    assert not common._MADE
+    from graphloom.operators import scratch
+
+    exact_dedup.exact_dedup(spark.createDataFrame([(1, "a")], "doc_id long, text string")).count()
+    kept, gone = scratch.written(spark.range(3), "a"), scratch.written(spark.range(3), "b")
+    scratch.discard(gone)
+    scratch.discard(spark.range(1))
+    assert kept.count() == 3 and any("graphloom-a-" in p for p in scratch._MADE) and not any("graphloom-b-" in p for p in scratch._MADE)
+    scratch.sweep()
+    assert not scratch._MADE and not [t for t in spark.catalog.listTables() if t.name.startswith("graphloom_index")]
     with pytest.raises(Exception):  # noqa: B017, PT011
         spark.read.parquet(kept._graphloom_path).count()
 
@@ -65,7 +66,7 @@ def test_index_lasts_between_batches(spark):
     assert {(r["doc_id"], r["kept"]) for r in index.ingest(first).collect()} == {(1, False), (2, True), (3, True)}
     second = exact_dedup.digests(spark.createDataFrame([(4, "a"), (5, "c"), (5, "c")], "doc_id long, text string"))
     got = sorted((r["doc_id"], r["keep_id"], r["kept"]) for r in index.ingest(second).collect())
-    assert got == [(4, 2, False), (5, 5, True), (5, 5, True)]
+    assert got == [(4, 2, False), (5, 5, False), (5, 5, True)]  # one of the repeated rows stays
     assert index.read().count() == 3
     spark.sql(f"DROP TABLE {index.name}")  # as in a new session: the folder is still there
     again = exact_dedup.DigestIndex(spark, index.name + "_again", index.path, buckets=4)
@@ -74,9 +75,75 @@ def test_index_lasts_between_batches(spark):
     assert again.read().count() == 4
 
 
+def test_overlapping_batches_keep_nothing_twice(spark):
+    index = exact_dedup.DigestIndex.temporary(spark, buckets=4)
+    of = lambda *rows: exact_dedup.digests(spark.createDataFrame(list(rows), "doc_id long, text string"))
+    kept = lambda df: sorted((r["doc_id"], r["kept"]) for r in df.collect())
+    first = of((1, "a"), (2, "b"), (2, "B"), (None, "c"))
+    assert kept(index.ingest(first, "first").filter("doc_id is not null")) == [(1, True), (2, False), (2, True)]
+    assert kept(index.ingest(of((2, "b"), (1, "a"), (3, "d")))) == [(1, False), (2, False), (3, True)]
+    again = index.ingest(first, "first")  # the batch of that name comes again: nothing is appended, its verdicts stay
+    assert sum(r["kept"] for r in again.collect()) == 3 and index.read().count() == 4
+    assert not any(r["kept"] for r in index.ingest(first).collect())
+
+
+def test_the_query_plans_the_anti_join(spark, monkeypatch):
+    plans = []
+    unseen = exact_dedup.DigestIndex.unseen
+    monkeypatch.setattr(exact_dedup.DigestIndex, "unseen", lambda self, groups: plans.append(unseen(self, groups)) or plans[-1])
+    out = exact_dedup.exact_dedup(spark.createDataFrame([(1, "a"), (2, "A")], "doc_id long, text string"))
+    assert out.count() == 2
+    plan = plans[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan and plan.count("Exchange") == 1  # the groups move, the index does not
+
+
+def test_buckets_follow_the_rows(spark):
+    assert exact_dedup.DigestIndex.temporary(spark).buckets == exact_dedup.LEAST_BUCKETS
+    index = exact_dedup.DigestIndex.temporary(spark, rows=100 * exact_dedup.BUCKET_ROWS)
+    assert index.buckets == 100
+    assert exact_dedup.DigestIndex(spark, index.name, index.path, rows=5).buckets == 100
+
+
+CLASHING = ["_id", "_digest", "_kept", "_tag", "_hash", "_src", "_copies", "_copy", "_toxicity", "_salt", "row", "json", "key0"]
+
+
+def clashing(spark, rows, upper=False):
+    """Documents with columns named like those that operators make for themselves."""
+    names = [n.upper() if upper else n for n in CLASHING]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names)
+    return spark.createDataFrame([(*r, *(f"{n}{r[0]}" for n in names)) for r in rows], schema)
+
+
+@pytest.mark.parametrize("upper", [False, True])
+def test_callers_columns_stay_as_they_are(spark, upper):
+    from graphloom.llm import jaccard, toxicity
+
+    rows = [(1, "a b c d e f", "s"), (1, "a b c d e f", "s"), (2, "A b c d e f", "t"), (3, None, None), (4, "", None), (5, "x y", "s")]
+    docs = clashing(spark, rows, upper)
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    for stage in (exact_dedup.keep_copies, jaccard.keep_one_each, mixing.mixed, lambda d: toxicity.keep_clean(d, labels)):
+        out = stage(docs)
+        assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()
+        got = out.collect()
+        assert got and set(map(tuple, got)) <= set(map(tuple, docs.collect()))
+
+
+def test_one_row_of_each_digest_stays(spark):
+    rows = [(7, "aA", "s"), (7, "AA", "t"), (7, "aa", "s"), (3, "aa", "s"), (8, "b", "s")]
+    got = exact_dedup.keep_copies(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted(r["doc_id"] for r in got) == [7, 8]
+    assert sum(r["kept"] for r in exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()) == 2
+
+
+def test_very_long_texts_are_digested_whole(spark):
+    long = "Wort " * 400_000
+    got = exact_dedup.exact_dedup(spark.createDataFrame([(1, long + "a"), (2, long + "b"), (3, long.upper() + "A")], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["keep_id"]) for r in got} == {(1, 3), (2, 2), (3, 3)}
+
+
 def test_anti_join_reads_the_index_without_a_shuffle(spark):
     index = exact_dedup.DigestIndex.temporary(spark, buckets=4)
-    index.append(spark.createDataFrame([("a", 1, 1)], "digest string, keep_id long, group_size long"))
+    index.append(spark.createDataFrame([("a", 1, 1, "x")], "digest string, keep_id long, group_size long, batch string"))
     new = spark.createDataFrame([("a",), ("b",)], "digest string").repartition(4, "digest")
     plan = new.join(index.read().select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and plan.count("Exchange") == 1
@@ -145,7 +212,7 @@ def test_mixing_is_the_same_again_and_moves_expectations_evenly(spark):
 
 
 def test_pivotal_rounding_keeps_expectations(spark):
-    items = spark.range(64).select(F.lit("s").alias("source"), "id", (F.col("id") % 9 + 1).alias("size"), F.lit(0.3).alias("p"), F.lit(0).cast("long").alias("base"))
+    items = spark.range(64).select(F.lit("s").alias("source"), F.xxhash64("id").alias("key"), "id", F.lit(0).cast("long").alias("tag"), F.lit(0).cast("long").alias("nth"), (F.col("id") % 9 + 1).alias("size"), F.lit(0.3).alias("p"), F.lit(0).cast("long").alias("base"))
     ups = 0
     for seed in range(12):
         rows = mixing.pivotal_round(items, 64, seed=seed, fan_in=8).collect()
@@ -164,6 +231,29 @@ def test_mixed_repeats_rows(spark):
     assert {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()} == {i: n for i, n in copies.items() if n}
 
 
+def test_mixing_takes_each_row_for_a_document(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "_RUN", 8)
+    rows = [(1, "a b c", "s")] * 50 + [(1, "d e", "s")] * 3 + [(None, "x", "t")] * 4 + [(2, "a b c", None), (3, "", "s"), (3, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix_sources(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["size"]) for r in got) == sorted((i or 0, len(words_of(t))) for i, t, _ in rows)
+    taken = sum(r["taken"] for r in got if r["source"] == "s")
+    assert abs(taken - next(r["target"] for r in got if r["source"] == "s")) <= 3
+    out = mixing.mixed(docs).groupBy("doc_id", "text", "source").count().collect()
+    want = {}
+    for r in got:
+        key = (r["doc_id"], r["tag"], r["source"])
+        want[key] = want.get(key, 0) + (r["copies"] if r["size"] else 1)
+    assert sorted(r["count"] for r in out) == sorted(n for n in want.values() if n)
+    again = mixing.mix_sources(spark.createDataFrame(rows[::-1], docs.schema).repartition(2)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_mixing_of_long_texts_and_other_kinds_of_ids(spark):
+    docs = spark.createDataFrame([("x", "w " * 300_000, "s"), ("y", "w", "t")], "doc_id string, text string, source string")
+    assert {(r["doc_id"], r["size"]) for r in mixing.mix_sources(docs).collect()} == {("x", 300_000), ("y", 1)}
+
+
 # ---- URLs
 
 
