@@ -329,14 +329,15 @@ def test_top_k_keeps_all_vectors_of_an_id(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERIES", 2)
     rng = np.random.default_rng(5)
     rows = [(i % 60, [float(x) for x in rng.integers(-90, 91, 4) / 256]) for i in range(180)]
-    rows += [(7, [0.5, 0.5, 0.5, j / 256]) for j in range(3)]
+    rows += [(7, [0.5, 0.5, 0.5, j / 256]) for j in range(3)] + [rows[5]] * 4 + [rows[50]] * 2  # repeats are candidates too
     got = {}
     for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     v = [(i, np.floor(256 * np.float32(x).astype(float)).astype(int)) for i, x in rows]
     assert set(got) == {0, 50}
     for q in got:
-        want = sorted((-int(a @ b), i) for j, a in v if j == q for i, b in v if i != q)[:5]
+        asks = {tuple(a): a for j, a in v if j == q}.values()
+        want = sorted((-int(a @ b), i) for a in asks for i, b in v if i != q)[:5]
         assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
 
 
@@ -345,12 +346,37 @@ def test_top_k_stops_early():
     v = rng.normal(size=(4000, 3))
     v[7] = [50, 50, 50]
     v[8] = [49, 50, 50]
-    a, b, c = topk.cell_top(np.array([[1, 1, 1]]), np.array([-1]), np.floor(v * 10).astype(np.int64), np.arange(4000), 2)
-    assert sorted(b.tolist()) == [7, 8] and sorted(c.tolist()) == [1490, 1500]
-    assert topk.search is not None
+    v = np.floor(v * 10).astype(np.int64)
+    a, b, c, scored = topk.cell_top(np.array([[1, 1, 1]]), np.array([-1]), v, np.arange(4000), 2)
+    assert sorted(b.tolist()) == [7, 8] and sorted(c.tolist()) == [1490, 1500] and scored[0] < 400
+    # a kth score that is known already stops the search before it begins, or leaves what reaches it
+    *none, scored = topk.cell_top(np.array([[1, 1, 1]]), np.array([-1]), v, np.arange(4000), 2, np.array([5000]))
+    assert not len(none[1]) and scored[0] == 0
+    a, b, c, scored = topk.cell_top(np.array([[1, 1, 1]]), np.array([-1]), v, np.arange(4000), 2, np.array([1500]))
+    assert b.tolist() == [7] and scored[0] < 400
+
+
+def test_the_bound_runs_on_over_cells(spark, monkeypatch):
+    """Vectors with few large components: most are never scored, and fewer still with the bound of the first cell."""
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.exponential(0.05, 8) ** 3 * 200]) for i in range(1, 3001)]
+    monkeypatch.setattr(topk, "VECTORS", 500)
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=100).collect()
+    v = {i: np.floor(256 * np.float32(x).astype(float)).astype(int) for i, x in rows}
+    for q in range(100, 3001, 100):
+        want = sorted((-int(v[q] @ v[i]), i) for i in v if i != q)[:5]
+        assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q) == [(k + 1, i, -x) for k, (x, i) in enumerate(want)]
+    assert sum(r["scored"] for r in got if r["rank"] == 1) < 0.8 * 30 * 3000
+
+
+def test_top_k_of_no_vectors_and_clashing_columns(spark):
+    schema = "vec_id long, embedding array<float>, id long, x string, n int, low int"
+    assert topk.search(spark.createDataFrame([], schema)).count() == 0
+    got = topk.search(spark.createDataFrame([(0, [1.0], 5, "a", 1, 1), (1, [2.0], 5, "a", 1, 1), (2, None, 5, "a", 1, 1)], schema)).collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 131072)]
 
 
 def test_top_k_beyond_doubles():
     big = 2**28
-    a, b, c = topk.cell_top(np.array([[big, 1]]), np.array([0]), np.array([[big, 1], [big, 2], [big, 3]]), np.array([0, 1, 2]), 5)
+    a, b, c, _ = topk.cell_top(np.array([[big, 1]]), np.array([0]), np.array([[big, 1], [big, 2], [big, 3]]), np.array([0, 1, 2]), 5)
     assert dict(zip(b.tolist(), c.tolist())) == {1: big * big + 2, 2: big * big + 3}

@@ -304,6 +304,38 @@ def test_urls_without_rows(spark):
     assert out.count() == 0
 
 
+def test_registered_domains(spark):
+    hosts = ["a.foo.co.uk", "foo.co.uk", "co.uk", "u@x.y.com:80", "192.168.1.1", "[::1]:8080", "localhost", "", "xco.uk", "a.b.github.io", "x.edu.au", "a.com"]
+    domain, suffix = url_filter.registered(F.col("h"), ("github.io", "io"))
+    got = spark.createDataFrame([(h,) for h in hosts], "h string").select(domain, suffix).collect()
+    assert [tuple(r) for r in got] == [
+        ("foo.co.uk", "co.uk"), ("foo.co.uk", "co.uk"), ("co.uk", "co.uk"), ("y.com", "com"), ("192.168.1.1", ""), ("[::1]", ""),
+        ("localhost", "localhost"), ("", ""), ("xco.uk", "uk"), ("b.github.io", "github.io"), ("x.edu.au", "edu.au"), ("a.com", "com"),
+    ]
+
+
+def test_many_rules_are_joined_with_the_same_results(spark, monkeypatch):
+    rng = random.Random(4)
+    rules = [url_filter.Rule(rng.choice(["allow", "block"]), rng.choice(["com", "a.com", "x.a.com", "org", "b.org"]), "/" + "".join(rng.choices("ab/", k=rng.randint(0, 4)))) for _ in range(150)]
+    pages = [(i, f"http://{rng.choice(['a.com', 'x.a.com', 'y.x.a.com', 'b.org', 'com', 'xcom', 'c.net'])}/{''.join(rng.choices('ab/', k=rng.randint(0, 6)))}") for i in range(400)] + [(400, None)]
+    df, none = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame([], "page_id long, bad int")
+    rows = lambda r: sorted(map(str, url_filter.judge_urls(df, none, r).collect()))
+    compiled = rows(rules)
+    monkeypatch.setattr(url_filter, "COMPILED", 3)
+    assert rows(rules) == compiled
+    table = spark.createDataFrame([(r.action, r.host, r.path) for r in rules], "action string, host string, path string")
+    assert rows(table) == compiled
+    assert len(rows(rules * 10)) == 401  # more than a thousand
+
+
+def test_repeated_pages_and_labels_and_clashing_columns(spark):
+    pages = [(1, "http://a.com/" + "x" * 50_000, "h", "r")] * 3 + [(None, "http://b.com/", "h", "r"), (2, "", None, None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, host string, rule string")
+    outcomes = spark.createDataFrame([(1, 1, "x")] * 4 + [(1, None, "x"), (None, 1, "x")], "page_id long, bad int, host string")
+    got = url_filter.judge_urls(df, outcomes, []).collect()
+    assert sorted((r["host"], r["n_labelled"]) for r in got) == [("", 0), ("a.com", 12), ("a.com", 12), ("a.com", 12), ("b.com", 0)]
+
+
 # ---- tool calls
 
 SCHEMAS = {"add": {"a": ("integer", True), "b": ("number", False)}, "none": {}}
@@ -343,7 +375,8 @@ def test_conversations(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", 'hi "\n'), (1, 2, "assistant", None), (1, 3, "assistant", "more"), (1, 4, None, "?"), (2, 0, "user", None)]
     got = {(r["conv_id"], r["turn"]): r for r in tool_calls.conversation_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert {k: r["status"] for k, r in got.items()} == {(1, 0): "message", (1, 1): "linked", (1, 3): "orphan result", (1, 4): "message", (2, 0): "unanswered"}
-    assert json.loads(got[(1, 1)]["json"]) == {"arguments": {"length": 5, "query": 'hi "\n'}, "id": "c1-1", "name": "answer", "result": "", "status": "linked", "valid": True}
+    assert json.loads(got[(1, 1)]["json"]) == {"arguments": {"length": 5, "query": 'hi "\n', "title": 'hi "'}, "id": "c1-1", "name": "answer", "result": "", "status": "linked", "valid": True}
+    assert got[(1, 1)]["valid"] and not got[(2, 0)]["valid"]
     assert tool_calls.conversation_events(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
@@ -356,6 +389,55 @@ def test_identical_rows_stay_as_repeated_events(spark):
     ]
 
 
+def levels_by_hand(deps):
+    """Longest path below each call; -1 in and before a cycle."""
+    known, on = {}, set()
+
+    def level(x):
+        if x in known:
+            return known[x]
+        if x in on:
+            return -1
+        on.add(x)
+        below = [level(d) for d in deps[x] if d in deps]
+        on.discard(x)
+        out = -1 if -1 in below else max(below, default=-1) + 1
+        known[x] = out
+        return out
+
+    order = {x: level(x) for x in deps}
+    bad = {x for x, v in order.items() if v == -1}
+    while more := {x for x in deps if x not in bad and any(d in bad for d in deps[x])}:
+        bad |= more
+    return {x: -1 if x in bad else order[x] for x in deps}
+
+
+def test_levels_against_brute_force(spark):
+    rng = random.Random(6)
+    deps = {f"a{i}": [f"a{i - 1}"] for i in range(40)}  # a chain
+    deps |= {f"b{i}": rng.sample([f"b{j}" for j in range(i)], min(i, rng.choice([0, 1, 1, 2]))) for i in range(40)}
+    deps |= {"x": ["y"], "y": ["z"], "z": ["x"], "w": ["x"], "v": ["w", "a3"], "u": ["v"], "s": ["s"], "t": ["t", "a1"], "o": ["gone", "a39", "a39"], "p": ["o"]}
+    calls = spark.createDataFrame([(1, i, k, "none", "{}", d) for i, (k, d) in enumerate(deps.items())], tool_calls.CALL)
+    keyed = calls.withColumn("_key", F.concat_ws(" ", F.col("conv_id").cast("string"), "call_id"))
+    got = {r["_key"][2:]: r["level"] for r in tool_calls.levels(keyed).collect()}
+    assert got == levels_by_hand(deps)
+
+
+def test_calls_are_hash_joined(spark):
+    plans = []
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", "q\nx") for i in range(8)]
+    out = tool_calls.conversation_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    plans = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plans
+    assert sorted((r["turn"], r["level"]) for r in out.collect() if r["level"] is not None) == [(0, 0), (2, 1), (4, 2), (6, 3)]
+
+
+def test_long_and_clashing_turns(spark):
+    rows = [(1, 0, "user", "q " * 200_000, "k", 1), (1, 1, "assistant", None, "k", 2)]
+    got = tool_calls.conversation_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, call_id string, level int")).collect()
+    assert [r["status"] for r in got] == ["linked"] and len(json.loads(got[0]["json"])["arguments"]["query"]) == 400_000
+
+
 # ---- components
 
 
