@@ -12,7 +12,8 @@ about 37 is sorted. From there on, as in prefix doubling, positions whose rank i
    the bytes of their windows along, and a task ranks those of one GRAM together; GRAMs of more than CLASS
    rows are spread by rank pair instead, salted.
 
-Within a task's batch, pairs that occur twice are settled at once, so a hot pair sends one row per batch.
+Within a task's batch, pairs that occur twice are settled at once, so a hot pair sends one row per batch. A hot GRAM
+in many surroundings is dealt to cells by the second rank of its pairs; its first occurrences go to step 2.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LENGTH, GRAM = 100, 28
 CHOICE = LENGTH - GRAM + 1
 #: Rows of a GRAM that are compared in one task; more are spread, window by window.
-CLASS = 16384
+CLASS = 2048
 #: Bytes of text that are worked on at a time.
 WORK = 4_000_000
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -120,30 +121,79 @@ def sampled(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.
 
 
 def _buffers(texts: list[bytes | None]):
-    """(index of the first text, joined bytes, begins, ends) of runs of texts of about WORK bytes."""
-    i = 0
-    while i < len(texts):
-        j, size = i, 0
-        while j < len(texts) and (j == i or size + len(texts[j] or b"") <= WORK):
-            size += len(texts[j] or b"")
-            j += 1
-        run = [t or b"" for t in texts[i:j]]
-        ends = np.cumsum([len(t) for t in run])
-        yield i, np.frombuffer(b"".join(run), np.uint8), np.concatenate([[0], ends[:-1]]), ends
-        i = j
+    """(index of the text and offset of each piece, joined bytes, begins, ends) of runs of pieces of about WORK bytes.
+
+    A longer text is cut into pieces that share LENGTH - 1 bytes, so that each window is in just one.
+    """
+    places: list[tuple[int, int]] = []
+    run: list[bytes | memoryview] = []
+    size = 0
+
+    def handed():
+        ends = np.cumsum([len(x) for x in run])
+        return np.array(places), np.frombuffer(b"".join(run), np.uint8), np.concatenate([[0], ends[:-1]]), ends
+
+    for i, t in enumerate(texts):
+        t = memoryview(t or b"")
+        for at in range(0, max(1, len(t) - LENGTH + 1), WORK):
+            piece = t[at : at + WORK + LENGTH - 1]
+            if run and size + len(piece) > WORK:
+                yield handed()
+                places, run, size = [], [], 0
+            places.append((i, at))
+            run.append(piece)
+            size += len(piece)
+    if run:
+        yield handed()
+
+
+#: A string that has more than a HOT-th of all marks is dealt by its surroundings; there are HOT of them at most.
+HOT = 8192
+
+
+def _frequent(batches):
+    """(gram, rows) of the grams that have a good share of a task's open marks, and (null, all rows)."""
+    counts: dict[int, int] = {}
+    total = 0
+    for b in _marked(batches):
+        gram = b.column("gram").to_numpy()[~b.column("removed").to_numpy(zero_copy_only=False)]
+        total += len(gram)
+        found, n = np.unique(gram, return_counts=True)
+        for g, c in zip(found[n > 2].tolist(), n[n > 2].tolist()):
+            counts[g] = counts.get(g, 0) + c
+        if len(counts) > 64 * HOT:  # what is rare so far goes: less than a HOT-th of the rows, and so not hot by them
+            counts = {g: c for g, c in counts.items() if c * 4 * HOT > total}
+    kept = [(g, c) for g, c in counts.items() if c * 4 * HOT > total]
+    made = [pa.array([*(g for g, _ in kept), None], pa.int64()), pa.array([*(c for _, c in kept), total], pa.int64())]
+    yield pa.RecordBatch.from_arrays(made, ["gram", "rows"])
+
+
+def hot_grams(keyed: DataFrame) -> np.ndarray:
+    """Sorted ranks of the grams with more than a HOT-th of all open marks of texts (id, tag, text), HOT at most.
+
+    Which they are decides only where their rows are compared, not what is found.
+    """
+    counts = keyed.mapInArrow(_frequent, "gram long, rows long").groupBy("gram").agg(F.sum("rows").alias("rows"))
+    total = counts.filter("gram is null").agg(F.max("rows")).first()[0] or 0
+    rows = counts.filter("gram is not null").filter(F.col("rows") * HOT > total).orderBy(F.desc("rows")).limit(HOT).collect()
+    return np.sort(np.array([r["gram"] for r in rows], np.int64))
 
 
 _MARKS = "gram long, whole long, id long, tag long, first int, last int, removed boolean"
+#: Cells that the marks of a hot gram are dealt to, by the ranks of their windows.
+CELLS = 127
 
 
 def _marked(batches):
     for b in slices(batches, 2000):
         ids, tags = b.column("id").to_numpy(), b.column("tag").to_numpy()
-        for i, data, begins, ends in _buffers(b.column("text").cast(pa.large_binary()).to_pylist()):
+        for places, data, begins, ends in _buffers(b.column("text").cast(pa.large_binary()).to_pylist()):
             t, s0, s1, gram, whole = sampled(data, begins, ends)
             if not len(t):
                 continue
-            own, tag = ids[i + t], tags[i + t]
+            t, off = places[t, 0], places[t, 1]
+            s0, s1 = s0 + off, s1 + off
+            own, tag = ids[t], tags[t]
             order = np.lexsort((s0, tag, own, whole, gram))
             t, s0, s1, gram, whole, own, tag = (x[order] for x in (t, s0, s1, gram, whole, own, tag))
             head = np.ones(len(t), bool)
@@ -164,6 +214,19 @@ def _marked(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["gram", "whole", "id", "tag", "first", "last", "removed"])
 
 
+def _dealt(shared):
+    """Marks with the cell of their gram that they go to: 0, but for hot grams."""
+
+    def run(batches):
+        hot = shared.value
+        for b in _marked(batches):
+            gram, whole = b.column("gram").to_numpy(), b.column("whole").to_numpy()
+            cell = np.where(np.isin(gram, hot), 1 + (whole.view(np.uint64) % np.uint64(CELLS)).astype(np.int32), 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], [*b.schema.names, "cell"])
+
+    return run
+
+
 def _edges(batches):
     """A row per run of windows, with the bytes that they cover."""
     names = ["gram", "large", "id", "tag", "first", "last", "covered"]
@@ -289,27 +352,31 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     A byte is removed if a LENGTH-byte string that covers it also starts earlier: in a smaller doc_id, or
     earlier in the same document. A null text counts as empty, a null id as the smallest. Rows that repeat an
     id are documents of their own, in the order of their texts' hashes; rows that repeat id and text are one
-    document, reported as often.
+    document, reported as often. Long texts are cut only for ranking, with an overlap; other columns, whatever
+    their names, are ignored.
     """
     docs = docs.select("doc_id", "text")
     repeated = not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
     tag = F.xxhash64("text") if repeated else F.lit(0).cast("long")
     keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), tag.alias("tag"), "text")
     key = ["id", "tag"]
-    rows = keyed.select("id", "tag", "text").filter(F.octet_length("text") >= LENGTH).mapInArrow(_marked, _MARKS)
+    long = keyed.select("id", "tag", "text").filter(F.octet_length("text") >= LENGTH)
+    shared = docs.sparkSession.sparkContext.broadcast(hot_grams(long))  # HOT numbers at most
+    rows = long.mapInArrow(_dealt(shared), f"{_MARKS}, cell int")
     place = F.struct("id", "tag", "first")
-    by_gram = Window.partitionBy("gram").orderBy("whole", "id", "tag", "first")
+    by_gram = Window.partitionBy("gram", "cell").orderBy("whole", "id", "tag", "first")
+    whole_gram = Window.partitionBy("gram", "cell")
     near = lambda f, c: f(c).over(by_gram)
     # the first of a run of equal pairs stands where the pair begins; what it says is carried along the run
     begins = ~F.coalesce(near(F.lag, "whole") == F.col("whole"), F.lit(False))
     rows = rows.withColumn("lead", F.when(begins, place)).withColumn("lead", F.last("lead", True).over(by_gram))
     rows = rows.withColumn("before", near(F.lag, "whole")).withColumn("after", near(F.lead, "whole"))
     later = F.col("removed") | (place > F.col("lead"))
-    # of the leaders, those whose gram has another pair: some neighbour of their run differs
-    alone = F.col("before").isNull() & (F.col("top") == F.col("whole"))
-    rows = rows.withColumn("top", F.max("whole").over(Window.partitionBy("gram"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("gram")))
+    # of the leaders, those whose gram has another pair: some neighbour of their run differs, or may in another cell
+    alone = F.col("before").isNull() & (F.col("top") == F.col("whole")) & (F.col("cell") == 0)
+    rows = rows.withColumn("top", F.max("whole").over(whole_gram)).withColumn("n", F.count(F.lit(1)).over(whole_gram))
     gram = F.when(~later, F.col("gram"))
-    marks = rows.select(gram.alias("gram"), "id", "tag", "first", "last", later.alias("removed"), (~alone).alias("edge"), (F.col("n") > CLASS).alias("large")).filter("removed or edge")
+    marks = rows.select(gram.alias("gram"), "id", "tag", "first", "last", later.alias("removed"), (~alone).alias("edge"), ((F.col("n") > CLASS) | (F.col("cell") > 0)).alias("large")).filter("removed or edge")
     marks = written(marks.drop("edge"), "marks")
     release(docs)
     runs = marks.filter("not removed").groupBy(*key).agg(F.collect_list(F.struct("first", "last", "gram", "large")).alias("runs"))
@@ -332,14 +399,48 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     release(docs)
     pieces = marks.filter("removed").select("id", "tag", "first", "last").unionByName(settled)
     pieces = pieces.groupBy(*key).agg(F.collect_list(F.struct("first", "last")).alias("pieces"))
-    out = keyed.join(pieces, key, "left").select("doc_id", "text", "pieces")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin:int,end:int>>"
-    return out.mapInArrow(_cut, schema)
+    return _reported(keyed.join(pieces, key, "left"))
 
 
-def release(df: DataFrame) -> None:
-    """Lets the driver drop what it no longer refers to, and with it the shuffle files of finished jobs."""
-    import gc
+def _reported(rows: DataFrame) -> DataFrame:
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin:int,end:int>>"
+    return rows.select("doc_id", "text", "pieces").mapInArrow(_cut, schema)
 
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+
+def _positions(batches):
+    """A row for each position that begins a string of a quarter of LENGTH, with its rank."""
+    quarter = LENGTH // 4
+    for b in slices(batches, 100):
+        for places, data, begins, ends in _buffers(b.column("text").cast(pa.large_binary()).to_pylist()):
+            if len(data) < quarter:
+                continue
+            ranks = Ranks(data, _BASES[0]).all(quarter)
+            for (i, off), begin, end in zip(places.tolist(), begins.tolist(), ends.tolist()):
+                n = min(end - begin - quarter + 1, WORK)  # the next piece has the rest
+                if n > 0:
+                    own = pa.array(np.full(n, b.column("id")[i].as_py()))
+                    yield pa.RecordBatch.from_arrays([own, pa.array(np.arange(off, off + n)), pa.array(ranks[begin : begin + n].view(np.int64))], ["id", "at", "rank"])
+
+
+def doubled_spans(docs: DataFrame) -> DataFrame:
+    """What repeated_spans() returns, by plain prefix doubling over every position; for docs whose doc_ids differ.
+
+    Positions are ranked by 25 bytes, then by 50 and 100: each round joins a position's rank with that of the position
+    one offset on, groups equal rank pairs, names a group by its first position, which is its new rank, and drops
+    positions whose pair is unique. repeated_spans() does the same with fewer rows; this measures what they save.
+    """
+    keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), "text")
+    place = F.struct("id", "at")
+    now = keyed.filter(F.octet_length("text") >= LENGTH).select("id", "text").mapInArrow(_positions, "id long, at long, rank long")
+    now = written(now.select("id", "at", F.struct(F.col("rank").alias("id"), F.lit(0).cast("long").alias("at")).alias("rank")), "rank25")
+    for offset in (LENGTH // 4, LENGTH // 2):
+        on = now.select("id", (F.col("at") - offset).alias("at"), F.col("rank").alias("next"))
+        pairs = now.join(on, ["id", "at"]).select("id", "at", F.struct("rank", "next").alias("pair"))
+        groups = pairs.groupBy("pair").agg(F.min(place).alias("rank"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+        after = written(pairs.join(groups, "pair").select("id", "at", "rank"), f"rank{2 * offset}")
+        discard(now)
+        now = after
+    again = now.filter(place > F.col("rank")).select("id", F.struct(F.col("at").cast("int").alias("first"), F.col("at").cast("int").alias("last")).alias("w"))
+    pieces = again.groupBy("id").agg(F.collect_list("w").alias("pieces"))
+    return _reported(keyed.join(pieces, "id", "left"))
