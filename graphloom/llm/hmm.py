@@ -3,8 +3,8 @@
 Symbols: the HEAD most frequent training words, each by itself; all other words by TAIL hash buckets, within
 which a word has its smoothed share of the bucket's training tokens; and the end of a text. Head, buckets and
 states are bounded, so a model is a few megabytes whatever the corpus; exact counts of all other words stay
-in a table, which is joined with the rare words of each document. Rare words cannot be hot keys: each is
-rarer than any head word.
+in a table, which is joined with the rare words of each document. Rare words cannot be hot keys: none is
+more frequent than any head word.
 
 A text's probability is the sum over all state paths, computed by the scaled forward recursion. Texts are cut
 into segments whose transfer matrices are computed side by side and chained, so one long text costs no more
@@ -284,8 +284,8 @@ def train(encoded: DataFrame, frequency: np.ndarray, states: int = STATES, itera
     columns = [f"s{i}" for i in range(states)]
     for _ in range(iterations):
         shared = spark.sparkContext.broadcast(model)  # SYMBOLS * STATES numbers
-        # as many partitions as run at once, twice over: each sends all of its symbols' counts once
-        found = encoded.select("ids").coalesce(2 * spark.sparkContext.defaultParallelism).mapInArrow(_expected(shared), ", ".join(["symbol int", *(f"{c} double" for c in columns)]))
+        # a row per symbol and task, summed before and after they are dealt out by symbol
+        found = encoded.select("ids").mapInArrow(_expected(shared), ", ".join(["symbol int", *(f"{c} double" for c in columns)]))
         sums = found.groupBy("symbol").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()
         shared.unpersist()
         values, key = sums[columns].to_numpy(), sums["symbol"].to_numpy()
@@ -321,24 +321,38 @@ def _scored(shared):
     return run
 
 
-def head_words(counts: DataFrame, most: int = HEAD) -> DataFrame:
-    """The words at or above the lowest count class (eighths of a doubling) that leaves `most` of them at most."""
-    step = F.floor(F.log2("c") * 8)
-    classes = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect()  # some 500 rows at most
-    total, lowest = 0, None
-    for r in classes:
-        total += r["n"]
-        if total > most:
+#: Cells that equally frequent words are dealt to by hash, to cut the head among them.
+_TIES = 4096
+
+
+def head_words(counts: DataFrame, most: int = HEAD) -> tuple[DataFrame, DataFrame]:
+    """(the most frequent words, the others): `most` words at most, and all but a _TIES-th of a class of equals as many.
+
+    The limit is found in three histograms: eighths of a doubling of the count, counts within the eighth in which it
+    falls, and hashes of words within that count. Words of one count are taken by their hashes.
+    """
+    step, tie = F.floor(F.log2("c") * 8), F.pmod(F.xxhash64("word"), F.lit(_TIES))
+    inside, head, room = F.lit(True), F.lit(False), most
+    for key, order in ((step, "desc"), (F.col("c"), "desc"), (tie, "asc")):
+        classes = counts.filter(inside).groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
+        # few rows: some 500 eighths, the counts within one of them, _TIES hashes
+        for r in sorted(classes.collect(), key=lambda r: -r["key"] if order == "desc" else r["key"]):
+            if r["n"] > room:
+                inside = inside & (key == F.lit(r["key"]))
+                break
+            room -= r["n"]
+            head = head | (inside & (key >= F.lit(r["key"]) if order == "desc" else key <= F.lit(r["key"])))
+        else:
             break
-        lowest = r["step"]
-    return counts.filter(step >= F.lit(lowest)) if lowest is not None else counts.limit(0)
+    return counts.filter(head), counts.filter(~head)
 
 
 def score_documents(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) of each row of docs.
 
     Rows whose crc32 of the id, as text, mod 10 is 0 are held out; a null id is not. A null text counts as
-    empty, and has its end as its one token. Repeated rows are scored each, and count each in training.
+    empty, and has its end as its one token. Repeated rows are scored each, and count each in training. Ids of any
+    type are taken as text; long texts are scored whole; other columns, whatever their names, are ignored.
     Without training rows nothing is known, and each word is drawn from the smoothed empty counts.
     """
     spark = docs.sparkSession
@@ -348,10 +362,9 @@ def score_documents(docs: DataFrame, states: int = STATES, iterations: int = ITE
     texts = everything.filter("word is null").agg(F.sum("c")).first()[0] or 0
     counts = everything.filter("word is not null")
     bucket = F.lit(HEAD) + F.crc32(F.col("word").cast("binary")) % TAIL
-    top = head_words(counts).select("word", "c").toPandas().sort_values(["c", "word"], ascending=[False, True])  # HEAD rows at most
+    most, tail = head_words(counts)
+    top = most.select("word", "c").toPandas().sort_values(["c", "word"], ascending=[False, True])  # HEAD rows at most
     head = {w.encode(): i for i, w in enumerate(top["word"])}
-    lowest = int(top["c"].min()) if len(top) else None
-    tail = counts if lowest is None else counts.filter(F.col("c") < lowest)
     buckets = tail.groupBy(bucket.cast("int").alias("b")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).toPandas()  # TAIL rows at most
     n = int(top["c"].sum() + buckets["n"].sum()) + texts
     v = len(top) + int(buckets["v"].sum()) + (texts > 0)
@@ -360,7 +373,8 @@ def score_documents(docs: DataFrame, states: int = STATES, iterations: int = ITE
     in_symbol[buckets["b"]], kinds[buckets["b"]], in_symbol[END] = buckets["n"], buckets["v"], texts
     frequency = (in_symbol + DELTA) / (in_symbol + DELTA).sum()
     shared = spark.sparkContext.broadcast(head)
-    encoded = rows.mapInArrow(_encoded(shared), "doc_id long, held_out boolean, ids array<int>, rare array<string>, times array<int>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    encoded = rows.mapInArrow(_encoded(shared), f"doc_id {kind}, held_out boolean, ids array<int>, rare array<string>, times array<int>")
     encoded = written(encoded.withColumn("row", F.monotonically_increasing_id()), "symbols")
     model, _ = train(encoded.filter(~F.col("held_out")), frequency, states, iterations)
     # log10 of what each symbol gives to the base score, and of the words of a bucket's size
@@ -370,9 +384,9 @@ def score_documents(docs: DataFrame, states: int = STATES, iterations: int = ITE
     log_bucket = np.where(single, 0.0, np.log10(in_symbol + DELTA * (kinds + 1)))
     known = (single & (in_symbol > 0)).astype(float)
     shared = spark.sparkContext.broadcast((model, log_c, log_bucket, known))
-    scored = encoded.select("row", "doc_id", "held_out", "ids").mapInArrow(_scored(shared), "row long, doc_id long, held_out boolean, score double, base double, n_known long, n_tokens long")
+    scored = encoded.select("row", "doc_id", "held_out", "ids").mapInArrow(_scored(shared), f"row long, doc_id {kind}, held_out boolean, score double, base double, n_known long, n_tokens long")
     rare = encoded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
-    looked = rare.join(tail.hint("shuffle_hash"), "word", "left")  # each word once: partitions of it are even
+    looked = rare.join(tail, "word", "left")  # each word once, and in any document once
     share = F.log10(F.coalesce("c", F.lit(0)) + DELTA) * F.col("times")
     sums = looked.groupBy("row").agg(F.sum(share).alias("log_rare"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known_rare"))
     out = scored.join(sums, "row", "left")

@@ -64,7 +64,7 @@ def test_baum_welch_climbs(spark):
 
 
 def test_scores_and_base(spark):
-    texts = [*prose(120, 4), None, "", "rareword " * 50, "x" * 3000, "unseen"]
+    texts = [*prose(120, 4), None, "", "rareword " * 50, "x" * 3000, "unseen", "very long " * 60_000]
     ids = list(range(len(texts)))
     got = {r["doc_id"]: r for r in hmm.score_documents(docs_of(spark, texts), states=2, iterations=2).collect()}
     counts, ends = Counter(), 0
@@ -84,14 +84,92 @@ def test_scores_and_base(spark):
 def test_words_outside_the_head_keep_exact_counts(spark, monkeypatch):
     texts = prose(60, 9)
     whole = {r["doc_id"]: r["base_score"] for r in hmm.score_documents(docs_of(spark, texts), 2, 1).collect()}
-    monkeypatch.setattr(hmm, "head_words", lambda counts, most=3: hmm_head(counts))
+    monkeypatch.setattr(hmm, "head_words", lambda counts: hmm_head(counts))
     part = {r["doc_id"]: r["base_score"] for r in hmm.score_documents(docs_of(spark, texts), 2, 1).collect()}
     assert part == pytest.approx(whole)
 
 
 def hmm_head(counts):
     top = counts.agg(F.max("c")).first()[0]
-    return counts.filter(F.col("c") >= top)
+    return counts.filter(F.col("c") >= top), counts.filter(F.col("c") < top)
+
+
+def test_the_head_is_filled(spark):
+    counts = spark.createDataFrame([(f"w{i}", 1 + (i % 7) * (i % 3)) for i in range(900)], "word string, c long")
+    for most in (1, 40, 300, 700, 899, 900, 5000):
+        head, tail = hmm.head_words(counts, most)
+        top, rest = head.collect(), tail.collect()
+        assert len(top) + len(rest) == 900 and min(most, 900) - 3 <= len(top) <= most
+        assert not top or not rest or min(r["c"] for r in top) >= max(r["c"] for r in rest)
+    # one class that is larger than the head: it is cut by hash, not left out
+    head, tail = hmm.head_words(spark.createDataFrame([(f"w{i}", 1) for i in range(900)], "word string, c long"), 500)
+    assert 480 <= head.count() <= 500 and tail.count() == 900 - head.count()
+
+
+def plain_pass(model, texts):
+    """Expected counts by the textbook: forward and backward over whole texts, without segments or scaling."""
+    k = len(model.start)
+    emitted, moved, started = np.zeros((hmm.SYMBOLS, k)), np.zeros((k, k)), np.zeros(k)
+    for xs in texts:
+        n = len(xs)
+        alpha, beta = np.zeros((n + 1, k)), np.ones((n + 1, k))
+        alpha[0] = model.start
+        for t, x in enumerate(xs):
+            alpha[t + 1] = (alpha[t] @ model.move) * model.emit[x]
+        for t in range(n - 1, -1, -1):
+            beta[t] = model.move @ (model.emit[xs[t]] * beta[t + 1])
+        total = alpha[n].sum()
+        started += alpha[0] * beta[0] / total
+        for t, x in enumerate(xs):
+            emitted[x] += alpha[t + 1] * beta[t + 1] / total
+            moved += alpha[t][:, None] * model.move * (model.emit[x] * beta[t + 1])[None, :] / total
+    return emitted, moved, started
+
+
+def test_expected_counts_against_brute_force(monkeypatch):
+    monkeypatch.setattr(hmm, "SEGMENT", 7)
+    rng = np.random.default_rng(4)
+    frequency = rng.random(hmm.SYMBOLS)
+    model = hmm.Model.first(frequency / frequency.sum() * 1000, 3)  # short texts: plain products do not underflow
+    model.move[:] = rng.dirichlet(np.ones(3), 3)
+    texts = [rng.integers(0, hmm.SYMBOLS, n) for n in (1, 6, 7, 8, 30)]
+    symbols = np.concatenate(texts).astype(np.int32)
+    got = np.zeros((hmm.SYMBOLS, 3)), np.zeros((3, 3)), np.zeros(3)
+    hmm.Segments(symbols, np.cumsum([0, *map(len, texts)])).counts(model, *got)
+    for a, b in zip(got, plain_pass(model, texts), strict=True):
+        assert np.allclose(a, b)
+
+
+def test_trained_scores_against_brute_force(spark):
+    """Two passes of plain Baum-Welch on whole texts, and log10 of the plain sum over paths."""
+    texts = [" ".join(random.Random(i).choices(["der", "die", "das"] if i % 2 else ["the", "a", "of"], k=6)) for i in range(40)] + ["", "the new word"]
+    got = {r["doc_id"]: r["score"] for r in hmm.score_documents(docs_of(spark, texts), states=2, iterations=2).collect()}
+    train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 10]
+    counts = Counter(w for i in train for w in texts[i].split())
+    place = {w: i for i, (w, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0])))}
+    n = np.zeros(hmm.SYMBOLS)
+    for w, c in counts.items():
+        n[place[w]] = c
+    n[hmm.END] = len(train)
+    frequency = (n + 0.1) / (n + 0.1).sum()
+    encode = lambda t: [place[w] if w in place else hmm.HEAD + zlib.crc32(w.encode()) % hmm.TAIL for w in t.split()] + [hmm.END]
+    model = hmm.Model.first(frequency, 2)
+    for _ in range(2):
+        emitted, moved, started = plain_pass(model, [encode(texts[i]) for i in train])
+        emit = emitted + hmm.BORROWED * frequency[:, None]
+        model = hmm.Model((started + 0.1) / (started + 0.1).sum(), (moved + 0.1) / (moved + 0.1).sum(axis=1)[:, None], emit / emit.sum(axis=0))
+    for i, t in enumerate(texts):
+        state = model.start
+        for x in encode(t):
+            state = (state @ model.move) * model.emit[x]
+        # an unseen word has all of the empty share of its bucket: 0.1 of the 0.1 that the bucket has
+        assert got[i] == pytest.approx(math.log10(state.sum()))
+
+
+def test_ids_of_any_type_and_clashing_columns(spark):
+    df = spark.createDataFrame([("a7", "x y", 1, "b"), (None, None, 2, "c"), ("a7", "x y", 1, "b")], "doc_id string, text string, row int, ids string")
+    got = hmm.score_documents(df, 2, 1).collect()
+    assert sorted((r["doc_id"] or "", r["n_tokens"]) for r in got) == [("", 1), ("a7", 3), ("a7", 3)]
 
 
 def test_probabilities_of_one_word_texts_sum_to_one(spark):
@@ -153,6 +231,51 @@ def test_ftrl_is_sparse():
     assert w[0] > 0 > w[1] and np.count_nonzero(w) < 100
 
 
+def test_ftrl_against_the_plain_rule():
+    """Coordinate by coordinate: w from z and n, the gradient, then z and n, as published."""
+    rng = np.random.default_rng(2)
+    rows = [(np.unique(rng.integers(0, 12, 4)), int(rng.random() < 0.4)) for _ in range(60)]
+    model = toxicity.Ftrl(l1=0.3, size=12)
+    z, n, zb, nb = [0.0] * 12, [0.0] * 12, 0.0, 0.0
+
+    def weight(i):
+        if abs(z[i]) <= 0.3:
+            return 0.0
+        return -(z[i] - math.copysign(0.3, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for at, y in rows:
+        model.learn(at, y)
+        w = {int(i): weight(i) for i in at}
+        b = -zb * toxicity.ALPHA / (toxicity.BETA + math.sqrt(nb))
+        g = 1 / (1 + math.exp(-(sum(w.values()) + b))) - y
+        for i in w:
+            sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA
+            z[i] += g - sigma * w[i]
+            n[i] += g * g
+        sigma = (math.sqrt(nb + g * g) - math.sqrt(nb)) / toxicity.ALPHA
+        zb += g - sigma * b
+        nb += g * g
+        assert np.allclose(model.weights(slice(None)), [weight(i) for i in range(12)])
+        assert model.intercept() == pytest.approx(-zb * toxicity.ALPHA / (toxicity.BETA + math.sqrt(nb)))
+
+
+def test_the_sample_is_bounded_in_features(spark, monkeypatch):
+    texts, labels = labelled(spark, 300)
+    rows = spark.createDataFrame([(i, t, y) for (i, y), t in zip(labels, texts, strict=True)], "doc_id long, text string, label int")
+    whole = toxicity.fit(rows)
+    monkeypatch.setattr(toxicity, "SAMPLE_FEATURES", 2000)
+    part = toxicity.fit(rows)
+    assert len(part[0]) < len(whole[0]) and len(whole[0])
+    assert all(np.array_equal(a, b) for a, b in zip(part, toxicity.fit(rows.repartition(7)), strict=True))  # the same again
+
+
+def test_toxicity_of_no_documents_and_ids_as_text(spark):
+    labels = spark.createDataFrame([("7", 1)], "doc_id string, toxic int")
+    assert toxicity.score_documents(spark.createDataFrame([], "doc_id string, text string"), labels).count() == 0
+    got = toxicity.score_documents(spark.createDataFrame([("7", "x", 1.0)] * 2, "doc_id string, text string, score double"), labels).collect()
+    assert len(got) == 2 and got[0] == got[1]
+
+
 # ---- pieces
 
 
