@@ -230,7 +230,38 @@ QUERIES: dict[str, tuple[str, str]] = {
     ),
     "agg_custom": (
         "SELECT ?s (FLOOR(<http://jena.apache.org/ARQ/function/aggregate#median>(DISTINCT ?p)) AS ?mid) WHERE { ?x ex:p_brand ?s ; ex:p_size ?p } GROUP BY ?s",
-        "SELECT p_brand AS s, floor(median(p_size)) AS mid FROM part GROUP BY 1",
+        "SELECT p_brand AS s, floor(median(DISTINCT p_size)) AS mid FROM part GROUP BY 1",
+    ),
+    "agg_spread": (
+        "SELECT ?s (ROUND(1000 * <http://jena.apache.org/ARQ/function/aggregate#stdev>(DISTINCT ?p)) AS ?spread) (ROUND(1000 * <http://jena.apache.org/ARQ/function/aggregate#varp>(?p)) AS ?var) WHERE { ?x ex:p_brand ?s ; ex:p_size ?p } GROUP BY ?s",
+        "SELECT p_brand AS s, round(1000 * stddev_samp(DISTINCT p_size)) AS spread, round(1000 * var_pop(p_size)) AS var FROM part GROUP BY 1",
+    ),
+    "sum_large": (
+        "SELECT ?s (SUM(?k * 9000000000000000) AS ?total) (SUM(DISTINCT ?k * 9000000000000000) AS ?once) WHERE { ?o ex:o_orderstatus ?s ; ex:o_orderkey ?k FILTER(?k < 1000) } GROUP BY ?s",
+        """SELECT o_orderstatus AS s, TRY_CAST(sum(CAST(o_orderkey AS HUGEINT) * 9000000000000000) AS BIGINT) AS total,
+           TRY_CAST(sum(DISTINCT CAST(o_orderkey AS HUGEINT) * 9000000000000000) AS BIGINT) AS once FROM orders WHERE o_orderkey < 1000 GROUP BY 1""",
+    ),
+    "avg_large": (
+        "SELECT ?s (xsd:integer(FLOOR(AVG(?k * 9000000000000000) / 1000000000000)) AS ?mean) WHERE { ?o ex:o_orderstatus ?s ; ex:o_orderkey ?k FILTER(?k < 1000) } GROUP BY ?s",
+        "SELECT o_orderstatus AS s, CAST((sum(CAST(o_orderkey AS HUGEINT) * 9000000000000000) // count(*)) // 1000000000000 AS BIGINT) AS mean FROM orders WHERE o_orderkey < 1000 GROUP BY 1",
+    ),
+    "left_join_possible": (
+        """SELECT ?id ?q ?t WHERE { { SERVICE m:documents { ?d ex:doc_id ?id } OPTIONAL { SERVICE m:labels { ?d ex:quality ?q } } }
+           OPTIONAL { { SELECT ?q (COUNT(*) AS ?t) WHERE { SERVICE m:labels { ?x ex:quality ?q } } GROUP BY ?q } } }""",
+        """WITH d AS (SELECT d.doc_id AS id, quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id), g AS (SELECT quality AS q, count(*) AS t FROM labels GROUP BY 1)
+           SELECT id, g.q AS q, t FROM d JOIN g ON d.q = g.q OR d.q IS NULL""",
+    ),
+    "exists_possible": (
+        """SELECT ?id (EXISTS { SERVICE m:labels { ?x ex:toxic ?q } } AS ?seen) WHERE { SERVICE m:documents { ?d ex:doc_id ?id } OPTIONAL { SERVICE m:labels { ?d ex:quality ?q } } }""",
+        """SELECT d.doc_id AS id, quality IS NULL OR quality IN (SELECT toxic FROM labels) AS seen FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+    ),
+    "minus_two_possible": (
+        """SELECT ?id WHERE { SERVICE m:documents { ?d ex:doc_id ?id } OPTIONAL { SERVICE m:labels { ?d ex:quality ?q } } OPTIONAL { SERVICE m:labels { ?d ex:toxic ?t } }
+           MINUS { { SELECT ?q ?t WHERE { SERVICE m:documents { ?e ex:n_chars ?n FILTER(?n < 500) } OPTIONAL { SERVICE m:labels { ?e ex:quality ?q } } OPTIONAL { SERVICE m:labels { ?e ex:toxic ?t FILTER(?t > 0) } } } } } }""",
+        """WITH d AS (SELECT d.doc_id AS id, quality AS q, toxic AS t FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+           r AS (SELECT DISTINCT quality AS q, CASE WHEN toxic > 0 THEN toxic END AS t FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE n_chars < 500)
+           SELECT id FROM d WHERE NOT EXISTS (SELECT 1 FROM r WHERE (d.q = r.q OR d.q IS NULL OR r.q IS NULL) AND (d.t = r.t OR d.t IS NULL OR r.t IS NULL)
+             AND ((d.q IS NOT NULL AND r.q IS NOT NULL) OR (d.t IS NOT NULL AND r.t IS NOT NULL)))""",
     ),
     "order_limit_offset": (
         "SELECT ?k ?p WHERE { ?o ex:o_orderkey ?k ; ex:o_totalprice ?p } ORDER BY DESC(?p) ?k LIMIT 10 OFFSET 5",

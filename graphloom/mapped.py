@@ -110,6 +110,14 @@ def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
+def _document_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as triples, in a graph for each language."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit(EX + "documents/"), F.col("doc_id")).alias("s"), "source", F.col("n_chars").cast("string").alias("n"), F.concat(F.lit(EX + "g/"), F.col("lang")).alias("g"))
+    o = lambda c, dt: F.struct(F.lit(T.LITERAL).cast("tinyint").alias("k"), F.col(c).alias("v"), F.lit(dt).alias("dt"), F.lit("").alias("lang"))
+    made = F.array(*[F.struct(F.lit(EX + p).alias("p"), o(c, dt).alias("o")) for p, c, dt in (("source", "source", T.STRING), ("n_chars", "n", A.XSD + "integer"))])
+    return d.select("s", F.inline(made).alias("p", "o"), "g").filter("o.v is not null")
+
+
 def _lookup_member(spark: SparkSession, sf_dir: str) -> LookUpMember:
     """Documents about nations, found by their key; one object each."""
     n = spark.read.parquet(f"{sf_dir}/nation.parquet")
@@ -137,6 +145,7 @@ def _engine(spark: SparkSession, sf_dir: str) -> Engine:
         EX + "m/objects": lambda: _object_member(spark, sf_dir),
         EX + "m/triples": lambda: triple_member(_triples(spark, sf_dir)),
         EX + "m/triples-single": lambda: triple_member(_triples(spark, sf_dir), single=True),
+        EX + "m/graphs": lambda: triple_member(_document_graphs(spark, sf_dir)),
         EX + "m/nation-docs": lambda: _lookup_member(spark, sf_dir),
     }
     return Engine(spark, f, default=(EX + "m/tpch",))
@@ -218,6 +227,18 @@ QUERIES: dict[str, tuple[str, str]] = {
         "SELECT ?g (COUNT(*) AS ?n) WHERE { SERVICE m:triples { GRAPH ?g { ?x ex:name ?n } } } GROUP BY ?g",
         f"SELECT '{EX}g/nations' AS g, count(*) AS n FROM nation",
     ),
+    "named_graph_many": (
+        "SELECT ?g ?n ?k WHERE { SERVICE m:graphs { GRAPH ?g { ?x ex:source ?n ; ex:n_chars ?k } } }",
+        f"SELECT '{EX}g/' || lang AS g, source AS n, CAST(n_chars AS VARCHAR) AS k FROM documents",
+    ),
+    "from_graphs": (
+        f"SELECT ?x ?n FROM <{EX}g/de> FROM <{EX}g/fr> WHERE {{ SERVICE m:graphs {{ ?x ex:source ?n }} }}",
+        f"SELECT '{EX}documents/' || doc_id AS x, source AS n FROM documents WHERE lang IN ('de', 'fr')",
+    ),
+    "from_named": (
+        f"SELECT ?g (COUNT(*) AS ?n) FROM NAMED <{EX}g/de> FROM NAMED <{EX}g/en> WHERE {{ SERVICE m:graphs {{ GRAPH ?g {{ ?x ex:source ?name }} }} }} GROUP BY ?g",
+        f"SELECT '{EX}g/' || lang AS g, count(*) AS n FROM documents WHERE lang IN ('de', 'en') GROUP BY 1",
+    ),
 }
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import terms as T
@@ -11,13 +13,15 @@ from graphloom.functions.terms import Term
 from graphloom.operators import paths
 from graphloom.operators import relation as R
 from graphloom.plans import algebra as A
-from graphloom.sources.views import in_graph
+from graphloom.sources.views import GraphsMember, in_graph, of_graphs
 from graphloom.sources.vocabulary import translate
 
 
 class Lowering:
-    def __init__(self, spark: SparkSession, members: dict, hint: str | None = None):
+    def __init__(self, spark: SparkSession, members: dict, hint: str | None = None, graphs: dict | None = None):
         self.spark, self.members, self.hint = spark, members, hint
+        #: The members as GRAPH sees them, if FROM clauses give it others.
+        self.graphs = members if graphs is None else graphs
 
     def rel(self, op: A.Op) -> R.Rel:
         return getattr(self, "_" + type(op).__name__.lower())(op)
@@ -52,16 +56,31 @@ class Lowering:
         return R.Rel(df, descs, frozenset(A.certain(op)))
 
     def _graph(self, op: A.Graph) -> R.Rel:
-        """The pattern in one named graph, or, for a variable, in each of those that the members have."""
+        """The pattern in one named graph, or, for a variable, in each of those that the members have.
+
+        A variable is a column like others: the graph that a triple is in, by which patterns are joined.
+        """
         if isinstance(op.target, A.Iri):
-            return Lowering(self.spark, _Graphs(self.members, op.target.value), self.hint).rel(op.child)
-        names = set()
-        for m in self.members.values():
-            for v in m.views:
-                if v.graph is not None:
-                    names |= {r[0] for r in v.rows.df.select(v.graph.alias("g")).filter("g is not null").distinct().collect()}
-        parts = [A.Extend(op.target.name, A.Const(A.Iri(n)), A.Graph(A.Iri(n), op.child)) for n in sorted(names)]
-        return R.union([self.rel(p) for p in parts]) if parts else R.nothing(self.spark, A.possible(op))
+            return Lowering(self.spark, _Graphs(self.graphs, op.target.value), self.hint).rel(op.child)
+        if _paths_in(op.child):  # a path stays within one graph: a branch for each graph's name
+            names = sorted(r["g"] for r in self._graph_names().collect())
+            parts = [A.Extend(op.target.name, A.Const(A.Iri(n)), A.Graph(A.Iri(n), op.child)) for n in names]
+            return R.union([self.rel(p) for p in parts]) if parts else R.nothing(self.spark, A.possible(op))
+        inside = Lowering(self.spark, _Graphs(self.graphs, A.Var(op.target.name)), self.hint).rel(op.child)
+        if op.target.name in inside.certain:
+            return inside
+        every = R.made(self._graph_names(), {op.target.name: Term(T.PLAIN_IRI, F.col("g"))}, {op.target.name})
+        return R.join(inside, every)
+
+    def _dataset(self, op: A.Dataset) -> R.Rel:
+        """Members with named graphs show those that FROM names, merged, and to GRAPH those of FROM NAMED."""
+        of = lambda names, merged: {k: of_graphs(m, names, merged) for k, m in self.members.items()}
+        return Lowering(self.spark, of(op.default, True), self.hint, of(op.named, False)).rel(op.child)
+
+    def _graph_names(self) -> DataFrame:
+        """The names of all graphs of the members (a column g), each once."""
+        found = [v.rows.df.select(v.graph.alias("g")) for m in self.graphs.values() for v in m.views if v.graph is not None]
+        return reduce(DataFrame.unionByName, found, self.spark.createDataFrame([], "g string")).filter("g is not null").distinct()
 
     # ---- joins
 
@@ -159,11 +178,12 @@ class Lowering:
         for i, x in enumerate(found):
             right = self.rel(x.pattern)
             shared = [v for v in rel.descs if v in right.descs]
-            if not all(v in rel.certain and v in right.certain for v in shared):
-                raise NotImplementedError("EXISTS inside an expression over variables that may be unbound")
-            keys = R.distinct(R.project(right, shared))
-            flag = f"_flag{i}"
-            rel = R.left_join(rel, R.extend(keys, flag, Term(T.literal(T.BOOLEAN), F.lit(True)), True))
+            flag, seen = f"_flag{i}", Term(T.literal(T.BOOLEAN), F.lit(True))
+            if all(v in rel.certain and v in right.certain for v in shared):
+                keys = R.distinct(R.project(right, shared))
+                rel = R.left_join(rel, R.extend(keys, flag, seen, True))
+            else:  # variables that may be unbound: rows with a partner, and those without
+                rel = R.union([R.extend(R.semi_join(rel, right), flag, seen), R.semi_join(rel, right, True)])
             flags[x] = (flag, x.negated)
 
         def exists(x: A.Exists) -> Term:
@@ -209,7 +229,14 @@ class Lowering:
 
 
 class _Graphs(dict):
-    """Members seen through one named graph."""
+    """Members seen through one named graph, or with a variable for the graph of each triple."""
+
+    def __init__(self, members, graph: str | A.Var):
+        if isinstance(graph, A.Var):
+            super().__init__({k: GraphsMember(m, graph.name) for k, m in members.items()})
+        else:
+            super().__init__({k: in_graph(m, graph) for k, m in members.items()})
+
 
-    def __init__(self, members, graph: str):
-        super().__init__({k: in_graph(m, graph) for k, m in members.items()})
+def _paths_in(op: A.Op) -> bool:
+    return isinstance(op, A.PathScan) or any(_paths_in(c) for c in op.children())

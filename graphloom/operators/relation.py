@@ -133,19 +133,30 @@ def join(left: Rel, right: Rel, hint: str | None = None) -> Rel:
     return _rel(df, _merged(left, right, mark), certain)
 
 
-def left_join(left: Rel, right: Rel, condition: Callable[[dict[str, Term]], list[Column]] | None = None) -> Rel:
+Condition = Callable[[dict[str, Term]], list[Column]] | None
+
+
+def _sides(left: Rel, right: Rel) -> tuple[list[Rel], list[Rel]]:
+    """Both relations split by the first variable that they share and that one of them may leave unbound.
+
+    In each pair of parts the variable is certain on both sides, and so an equality, or not shared any more.
+    """
+    var = next(v for v in left.descs if v in right.descs and not (v in left.certain and v in right.certain))
+    return tuple([r] if var in r.certain else list(_split(r, var)) for r in (left, right))
+
+
+def left_join(left: Rel, right: Rel, condition: Condition = None) -> Rel:
     mark = "__r"
     hard, soft = _matching(left, right, mark)
     if hard is None:
         terms = left.env() | {v: T.null() for v in right.descs if v not in left.descs}
         return _rel(left.df, terms, left.certain)
     if soft and not hard:
-        var = next(v for v in left.descs if v in right.descs)
-        if var in right.certain and var not in left.certain:
-            # rows that bind it meet equals; the others meet all
-            bound, free = _split(left, var)
-            out = union([left_join(bound, right, condition), left_join(free, right, condition)])
-            return Rel(out.df, out.descs, left.certain)
+        # what joins, and what finds no partner: both by parts that meet by equality
+        joined = join(left, right)
+        met = filter_(joined, condition(joined.env())) if condition else joined
+        out = union([met, semi_join(left, right, True, condition)])
+        return Rel(out.df, out.descs, left.certain)
     conditions = hard + soft
     if condition:
         conditions = conditions + condition(_merged(left, right, mark))
@@ -154,37 +165,51 @@ def left_join(left: Rel, right: Rel, condition: Callable[[dict[str, Term]], list
     return _rel(df, _merged(left, right, mark), left.certain)
 
 
-def semi_join(left: Rel, right: Rel, negated: bool = False, condition: Callable[[dict[str, Term]], list[Column]] | None = None) -> Rel:
+def semi_join(left: Rel, right: Rel, negated: bool = False, condition: Condition = None) -> Rel:
     """Rows of left with (without, if negated) a compatible row of right."""
     mark = "__r"
     hard, soft = _matching(left, right, mark)
     if hard is None:
         return left if negated else Rel(left.df.limit(0), left.descs, left.certain)
+    if soft and not hard:
+        lefts, rights = _sides(left, right)
+        found = []
+        for part in lefts:
+            for r in rights:  # a row goes with the first part of right that has a partner for it
+                if not negated:
+                    found.append(semi_join(part, r, False, condition))
+                part = semi_join(part, r, True, condition)
+            if negated:
+                found.append(part)
+        out = union(found)
+        missing = {v: T.null_of(d).alias(column_name(v)) for v, d in left.descs.items() if v not in out.descs}
+        return Rel(out.df.select("*", *missing.values()), {v: out.descs.get(v, d) for v, d in left.descs.items()}, left.certain)
     conditions = hard + soft + (condition(_merged(left, right, mark)) if condition else [])
+    if not conditions:  # whether right has rows at all: one of them tells
+        right = replace(right, df=right.df.limit(1))
     on = reduce(lambda x, y: x & y, conditions) if conditions else F.lit(True)
     return Rel(left.df.join(right.marked(mark), on, "left_anti" if negated else "left_semi"), left.descs, left.certain)
 
 
 def minus(left: Rel, right: Rel) -> Rel:
     """Rows of left without a compatible row of right that shares a bound variable with it."""
-    mark = "__r"
     shared = [v for v in left.descs if v in right.descs]
     if not shared:
         return left
-    hard, soft = _matching(left, right, mark)
+    hard, soft = _matching(left, right, "__r")
     if hard is None:
         return left
-    if not hard:
-        if len(shared) == 1:
-            equal = T.same(left.term(shared[0]), right.term(shared[0], mark))
-            if equal is None:
-                return left
-            hard, soft = [equal], []
-        else:
-            both = [left.term(v).col.isNotNull() & right.term(v, mark).col.isNotNull() for v in shared]
-            soft = [*soft, reduce(lambda x, y: x | y, both)]
-    on = reduce(lambda x, y: x & y, hard + soft)
-    return Rel(left.df.join(right.marked(mark), on, "left_anti"), left.descs, left.certain)
+    if hard:
+        return semi_join(left, right, True)
+    # split by a variable: where both sides bind it, it is shared; elsewhere the other variables decide
+    var = shared[0]
+    bound, *free = [left] if var in left.certain else _split(left, var)
+    given, *open_ = [right] if var in right.certain else _split(right, var)
+    bound = semi_join(bound, given, True)
+    for r in open_:
+        bound = minus(bound, r)
+    out = union([bound, *(minus(part, right) for part in free)])
+    return Rel(out.df, out.descs, left.certain)
 
 
 # ---- others
@@ -260,7 +285,8 @@ def order_keys(t: Term) -> list[Column]:
     if t.desc.kind != "dyn":
         return [T.plain(t).col if t.desc.kind == "iri" else t.col]
     value = F.when(t.col["dt"].isin(*T.NUMERIC), t.col["v"].try_cast("double"))
-    return [t.col["k"], value, t.col["v"], t.col["dt"], t.col["lang"]]
+    exact = F.when(value.isNotNull(), t.col["v"].try_cast("decimal(38,10)"))  # whole numbers that doubles cannot tell apart
+    return [t.col["k"], value, exact, t.col["v"], t.col["dt"], t.col["lang"]]
 
 
 def order(rel: Rel, keys: list[tuple[Term, bool]]) -> Rel:
@@ -284,6 +310,34 @@ AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "http://jena.apache.org/ARQ/function/aggregate#median": F.median,
 }
 
+A.CUSTOM_AGGREGATES.update(AGGREGATES)
+
+
+def _moments(name: str, c: Column) -> Column:
+    """A custom aggregate over the different values of a group: those of its array, for which it has to have room."""
+    values = F.array_sort(F.collect_set(c))
+    kind = name.rpartition("#")[2]
+    n = F.size(values)
+    if kind == "median":
+        at = lambda i: F.get(values, i.cast("int"))
+        return F.when(n > 0, (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2)
+    if name not in _SPREADS:
+        raise NotImplementedError(f"{name} of distinct values")
+    least, root = _SPREADS[name]
+    mean = F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), n.cast("double"))
+    squares = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+    variance = F.try_divide(squares, (n - least).cast("double"))
+    return F.sqrt(variance) if root else variance
+
+
+#: Of the measures of spread: what is taken off the number of values, and whether a root is drawn.
+_SPREADS = {
+    "http://jena.apache.org/ARQ/function/aggregate#stdev": (1, True),
+    "http://jena.apache.org/ARQ/function/aggregate#stdevp": (0, True),
+    "http://jena.apache.org/ARQ/function/aggregate#variance": (1, False),
+    "http://jena.apache.org/ARQ/function/aggregate#varp": (0, False),
+}
+
 
 def _unpoisoned(c: Column, value: Column) -> Column:
     """The aggregate, or NULL where a row of the group gave an error."""
@@ -308,13 +362,24 @@ def aggregate(agg: A.Agg, compiler: Compiler) -> tuple[Term, bool]:
             return Term(integer, F.when(F.count(F.lit(1)) == 0, F.lit(0)).cast("long")), False
         c, rank = got
         if agg.name == "SUM":
-            made_ = F.sum_distinct(c) if agg.distinct else F.sum(c)
+            if rank == 0:  # in 64 bits, as all integers here; beyond them unbound, not an error
+                made_ = F.sum_distinct(c.cast("decimal(38,0)")).try_cast("long") if agg.distinct else F.try_sum(c.cast("long"))
+            else:
+                made_ = F.sum_distinct(c) if agg.distinct else F.try_sum(c)
             d = (integer, T.literal(A.XSD + "decimal"), T.literal(A.XSD + "double"))[rank]
-            return Term(d, _unpoisoned(F.coalesce(made_, F.lit(0).cast(("long", "decimal(38,18)", "double")[rank])), c)), False
+            kind = ("long", "decimal(38,18)", "double")[rank]
+            return Term(d, _unpoisoned(F.when(F.count(c) == 0, F.lit(0).cast(kind)).otherwise(made_.cast(kind)), c)), False
         if rank < 2:
-            c = c.cast("decimal(38,18)")
-            mean = F.try_divide(F.sum_distinct(c) if agg.distinct else F.sum(c), (F.count_distinct(c) if agg.distinct else F.count(c)).cast("decimal(20,0)")).cast("decimal(38,18)")
-            return Term(T.literal(A.XSD + "decimal"), _unpoisoned(F.coalesce(mean, F.lit(0).cast("decimal(38,18)")), c)), False
+            exact = "decimal(38,18)"
+            n = (F.count_distinct(c) if agg.distinct else F.count(c)).cast("decimal(20,0)")
+            c = c.cast("decimal(20,0)" if rank == 0 else exact)
+            total = F.sum_distinct(c) if agg.distinct else F.sum(c)
+            mean = F.try_divide(total.try_cast(exact), n).try_cast(exact)
+            if rank == 0:  # a total that leaves no room for decimals: the whole part first
+                whole = F.floor(F.try_divide(total.try_cast("decimal(28,0)"), n))
+                rest = F.try_divide((total - whole * n).try_cast(exact), n).try_cast("decimal(20,18)")
+                mean = F.coalesce(mean, (whole.cast("decimal(20,0)") + rest).try_cast(exact))
+            return Term(T.literal(A.XSD + "decimal"), _unpoisoned(F.when(F.count(c) == 0, F.lit(0).cast(exact)).otherwise(mean), c)), False
         mean = F.avg(c) if not agg.distinct else F.sum_distinct(c) / F.count_distinct(c)
         return Term(T.literal(A.XSD + "double"), _unpoisoned(F.coalesce(mean, F.lit(0.0)), c)), False
     if agg.name in ("MIN", "MAX", "SAMPLE"):
@@ -330,8 +395,9 @@ def aggregate(agg: A.Agg, compiler: Compiler) -> tuple[Term, bool]:
         return Term(T.literal(T.STRING), _unpoisoned(F.array_join(F.array_sort(listed), agg.separator), text)), False
     if agg.name in AGGREGATES:
         got = number(t)
-        c = got[0] if got else F.lit(None).cast("double")
-        return Term(T.literal(A.XSD + "double"), AGGREGATES[agg.name](c.cast("double"))), False
+        c = (got[0] if got else F.lit(None)).cast("double")
+        made_ = _moments(agg.name, c) if agg.distinct else AGGREGATES[agg.name](c)
+        return Term(T.literal(A.XSD + "double"), _unpoisoned(made_, c)), False
     raise NotImplementedError(f"no aggregate {agg.name}")
 
 

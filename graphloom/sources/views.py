@@ -72,10 +72,10 @@ def _could(view: View, t: A.Triple) -> bool:
     return _match(view.s, t.s, {}, []) and _match(_predicate(view), t.p, {}, []) and _match(view.o, t.o, {}, [])
 
 
-def _scan(pairs: list[tuple[A.Triple, View]]) -> R.Rel | None:
-    """One pass over shared rows for several patterns; None if they cannot match."""
+def _scan(pairs: list[tuple[A.Triple, View]], given: dict[str, Term] | None = None) -> R.Rel | None:
+    """One pass over shared rows for several patterns, with terms that are given; None if they cannot match."""
     rows = pairs[0][1].rows
-    binds: dict[str, Term] = {}
+    binds: dict[str, Term] = dict(given or {})
     conditions: list[Column] = []
     for t, view in pairs:
         if not (_match(view.s, t.s, binds, conditions) and _match(_predicate(view), t.p, binds, conditions) and _match(view.o, t.o, binds, conditions)):
@@ -261,6 +261,45 @@ def in_graph(member: Member, graph: str | None) -> Member:
     return Member(views, member.vocabulary)
 
 
+def of_graphs(member: Member, names: tuple[str, ...], merged: bool) -> Member:
+    """The member with these of its named graphs only; merged: as one graph, in which a triple is once.
+
+    Members without named graphs stay as they are.
+    """
+    if not any(v.graph is not None for v in member.views):
+        return member
+    views = []
+    for v in member.views:
+        if v.graph is not None:
+            rows = Rows(f"{v.rows.name}@{names}", v.rows.df.filter(v.graph.isin(*names)), v.rows.keys)
+            views.append(View(rows, v.s, v.p, v.o, v.unique, v.repeats or merged, None if merged else v.graph))
+    return Member(views, member.vocabulary)
+
+
+class GraphsMember(Member):
+    """A member's named graphs: each pattern binds a variable to the graph in which it is found."""
+
+    def __init__(self, member: Member, graph: str):
+        super().__init__([v for v in member.views if v.graph is not None], member.vocabulary)
+        self.graph = graph
+
+    def evaluate(self, spark: SparkSession, triples: tuple[A.Triple, ...]) -> R.Rel:
+        parts = []
+        for t in triples:
+            found = []
+            for v in self.matching(t):
+                rows = Rows(v.rows.name, v.rows.df.filter(v.graph.isNotNull()).withColumn("_graph", v.graph), v.rows.keys)
+                name = A.Var(self.graph)
+                marked = View(rows, v.s, v.p, v.o, v.unique, v.repeats)
+                r = _scan([(t, marked)], {name.name: Term(T.PLAIN_IRI, F.col("_graph"))})
+                if r is not None:
+                    found.append(r)
+            if not found:
+                return R.nothing(spark, set().union(*[t.variables() for t in triples]) | {self.graph})
+            parts.append(R.union(found))
+        return ordered_join(parts) if parts else R.unit(spark)
+
+
 # ---- look-ups
 
 
