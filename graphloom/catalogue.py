@@ -263,6 +263,42 @@ QUERIES: dict[str, tuple[str, str]] = {
            SELECT id FROM d WHERE NOT EXISTS (SELECT 1 FROM r WHERE (d.q = r.q OR d.q IS NULL OR r.q IS NULL) AND (d.t = r.t OR d.t IS NULL OR r.t IS NULL)
              AND ((d.q IS NOT NULL AND r.q IS NOT NULL) OR (d.t IS NOT NULL AND r.t IS NOT NULL)))""",
     ),
+    **{
+        key: (
+            f"SELECT ?k ?name WHERE {{ ?o ex:o_orderkey ?k ; ex:o_totalprice ?t ; ex:o_customer ?c FILTER(?t > 250000) SERVICE m:remote-{way} {{ ?c ex:c_name ?name }} }}",
+            "SELECT o_orderkey AS k, c_name AS name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 250000",
+        )
+        for key, way in (
+            ("bind_values", "values"), ("bind_filter", "filter"), ("bind_union", "union"), ("bind_renamed", "rename"),
+            ("index_nested_loops", "nested"), ("bind_values_or_filter", "no-values"), ("bind_back_off", "short"),
+        )
+    },
+    "bind_optional": (
+        "SELECT ?k ?b WHERE { ?o ex:o_orderkey ?k ; ex:o_totalprice ?t ; ex:o_customer ?c FILTER(?t > 250000) OPTIONAL { SERVICE m:remote { ?c ex:c_acctbal ?b FILTER(?b > 5000) } } }",
+        "SELECT o_orderkey AS k, CASE WHEN c_acctbal > 5000 THEN CAST(c_acctbal AS VARCHAR) END AS b FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 250000",
+    ),
+    "service_body": (
+        """SELECT ?name ?r WHERE { SERVICE m:remote { { ?c ex:c_mktsegment "BUILDING" } UNION { ?c ex:c_mktsegment "MACHINERY" } ?c ex:c_name ?name ; ex:c_acctbal ?b
+           OPTIONAL { ?c ex:c_nation ?n . ?n ex:n_name ?r FILTER(STRSTARTS(?r, "U")) } FILTER(?b > 9000) } }""",
+        """SELECT c_name AS name, CASE WHEN starts_with(n_name, 'U') THEN n_name END AS r FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey
+           WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal > 9000""",
+    ),
+    "service_filter_outside": (
+        "SELECT ?name WHERE { SERVICE m:remote { ?c ex:c_name ?name ; ex:c_acctbal ?b } FILTER(?b < 0) }",
+        "SELECT c_name AS name FROM customer WHERE c_acctbal < 0",
+    ),
+    "service_silent": (
+        "SELECT ?n ?name WHERE { SERVICE m:nation { ?x ex:n_name ?n } SERVICE SILENT m:remote-failing { ?x ex:n_name ?name } }",
+        "SELECT n_name AS n, CAST(NULL AS VARCHAR) AS name FROM nation",
+    ),
+    "tpf_pages": (
+        "SELECT ?name ?n WHERE { SERVICE m:tpf { ?c ex:c_name ?name ; ex:c_nation ?n } }",
+        f"SELECT c_name AS name, '{EX}nation/' || c_nationkey AS n FROM customer",
+    ),
+    "brtpf_bind": (
+        "SELECT ?k ?name WHERE { ?o ex:o_orderkey ?k ; ex:o_totalprice ?t ; ex:o_customer ?c FILTER(?t > 250000) SERVICE m:brtpf { ?c ex:c_name ?name } }",
+        "SELECT o_orderkey AS k, c_name AS name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 250000",
+    ),
     "order_limit_offset": (
         "SELECT ?k ?p WHERE { ?o ex:o_orderkey ?k ; ex:o_totalprice ?p } ORDER BY DESC(?p) ?k LIMIT 10 OFFSET 5",
         "SELECT o_orderkey AS k, o_totalprice AS p FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5",

@@ -37,6 +37,9 @@ class Lowering:
     def _request(self, op: A.Request) -> R.Rel:
         return self.members[op.member].evaluate(self.spark, op.triples)
 
+    def _remote(self, op: A.Remote) -> R.Rel:
+        return self.members[op.member].fetch(self.spark, op.body.op, op.silent)
+
     def _pathscan(self, op: A.PathScan) -> R.Rel:
         return paths.scan(self.spark, self.members[op.member], op.triple)
 
@@ -92,8 +95,11 @@ class Lowering:
         return R.unit(self.spark) if out is None else out
 
     def _bound(self, left: R.Rel, op: A.Op) -> R.Rel:
-        member = self.members[op.member] if isinstance(op, A.Request) else None
-        found = member.bind(left, op.triples) if hasattr(member, "bind") else None
+        found = None
+        if isinstance(op, A.Remote):
+            found = self.members[op.member].bind_body(left, op.body.op, op.silent)
+        elif isinstance(op, A.Request) and hasattr(member := self.members[op.member], "bind"):
+            found = member.bind(left, op.triples)
         return self.rel(op) if found is None else found
 
     def _leftjoin(self, op: A.LeftJoin) -> R.Rel:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from graphloom.plans.algebra import OWL, RDFS
+from graphloom.sources import stub
+from graphloom.sources.fragments import FragmentMember
+from graphloom.sources.remote import WAYS, RemoteMember
 from graphloom.sources.views import Member, SingleMember, TableSpec, table_member
 from graphloom.sources.vocabulary import Rule, Vocabulary
 
@@ -69,7 +72,7 @@ class Federation(dict):
 
 
 def federation(spark: SparkSession, sf_dir: str) -> Federation:
-    """EX + m/ + table for each table; m/all for all; m/geo-global, nations and regions in global terms."""
+    """EX + m/ + table for each table; m/all for all; m/geo-global, nations and regions in global terms; m/remote..., m/tpf, m/brtpf: customers and nations, asked by requests."""
     one = lambda name: lambda: member(spark, sf_dir, name)
     makers = {f"{EX}m/{name}": one(name) for name in TABLES}
     makers[f"{EX}m/tpch"] = lambda: member(spark, sf_dir, "region", "nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -77,4 +80,12 @@ def federation(spark: SparkSession, sf_dir: str) -> Federation:
     makers[f"{EX}m/geo-global"] = lambda: member(spark, sf_dir, "region", "nation", vocabulary=VOCABULARY)
     makers[f"{EX}m/supplier-single"] = lambda: SingleMember(member(spark, sf_dir, "supplier").views)
     makers[f"{EX}m/docs"] = lambda: member(spark, sf_dir, "documents", "labels")
+    for way in WAYS:  # endpoints that are asked, each with bindings sent another way
+        makers[f"{EX}m/remote-{way}"] = lambda way=way: RemoteMember(f"stub:{sf_dir}", stub.endpoint, bindings=way)
+    makers[f"{EX}m/remote"] = makers[f"{EX}m/remote-values"]
+    makers[f"{EX}m/remote-no-values"] = lambda: RemoteMember(f"stub:{sf_dir}#novalues", stub.endpoint, bindings="values-or-filter")
+    makers[f"{EX}m/remote-short"] = lambda: RemoteMember(f"stub:{sf_dir}#short", stub.endpoint)
+    makers[f"{EX}m/remote-failing"] = lambda: RemoteMember(f"stub:{sf_dir}#fail", stub.endpoint)
+    makers[f"{EX}m/tpf"] = lambda: FragmentMember(f"stub:{sf_dir}", False, stub.fragment)
+    makers[f"{EX}m/brtpf"] = lambda: FragmentMember(f"stub:{sf_dir}", True, stub.fragment)
     return Federation(makers)

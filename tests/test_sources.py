@@ -371,3 +371,88 @@ def test_pattern_over_a_stream(spark, tmp_path):
     streaming.run_once(df, str(tmp_path / "out"), str(tmp_path / "cp"))
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(EX + "events/2", "Bee")]
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+# ---- requests to endpoints
+
+SX = "http://ex.org/"  # of the tables behind the stub
+
+
+def stubbed(spark, folder, how="", way="values"):
+    from graphloom.sources import remote, stub
+
+    spark.createDataFrame([(i, f"N{i}", i % 2) for i in range(3)], "n_nationkey int, n_name string, n_regionkey int").toPandas().to_parquet(f"{folder}/nation.parquet")
+    rows = [(i, f"C{i}", i % 4, 100.0 * i, "S") for i in range(80)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").toPandas().to_parquet(f"{folder}/customer.parquet")
+    return remote.RemoteMember(f"stub:{folder}{how}", stub.endpoint, bindings=way)
+
+
+def test_service_bodies_are_sent_whole(spark, tmp_path):
+    m = stubbed(spark, tmp_path)
+    sent, plain = [], m.request
+    m.request = lambda address, text: (sent.append(text), plain(address, text))[1]
+    e = Engine(spark, {EX + "r": m})
+    text = f"PREFIX ex: <{EX}> PREFIX sx: <{SX}> SELECT ?n ?r WHERE {{ SERVICE ex:r {{ ?c sx:c_name ?n ; sx:c_nation ?x OPTIONAL {{ ?x sx:n_name ?r }} }} SERVICE ex:r {{ ?c sx:c_acctbal ?b }} FILTER(?b > 7000 && ?n != \"C75\") }}"
+    shown = e.explain(text).split("optimized")[1]
+    assert shown.count("Remote(") == 1 and "Filter(conditions" in shown  # one request, the filter inside of it
+    assert sorted(tuple(r) for r in e.select(text).collect()) == sorted((f"C{i}", f"N{i % 4}" if i % 4 < 3 else None) for i in range(71, 80) if i != 75)
+    assert m.cardinality(spark, (A.Triple(A.Var("s"), A.Iri(SX + "c_name"), A.Var("o")),)) == 80 and "COUNT" in sent[-1]
+
+
+@pytest.mark.parametrize(("way", "how", "word"), [("values", "", "VALUES"), ("filter", "", "FILTER"), ("union", "", "UNION"), ("rename", "", "n_3"), ("nested", "", "row_"), ("values-or-filter", "#novalues", "FILTER"), ("values", "#short", "VALUES")])
+def test_ways_to_send_bindings(spark, tmp_path, way, how, word):
+    from graphloom.sources import remote
+
+    m = stubbed(spark, tmp_path, how, way)
+    made = remote.Requests(A.Bgp((A.Triple(A.Var("c"), A.Iri(SX + "c_name"), A.Var("n")),)), ["c", "n"], ["c"], way)
+    rows = [[{"k": 2, "v": f"{SX}customer/{i}", "dt": "", "lang": ""}] for i in range(60)]
+    sent = []
+    got = [r for part in made.answered(lambda text: (sent.append(text), m.request(m.endpoint, text))[1], rows, False) for r in part]
+    assert [(c["v"], n["v"]) for c, n in got] == [(f"{SX}customer/{i}", f"C{i}") for i in range(60)]
+    assert word in sent[-1] and len(sent) == {"nested": 60}.get(way, {"#short": 5, "#novalues": 3}.get(how, 2))
+    left = spark.createDataFrame([(f"{SX}customer/{i}", EX + "seen", iri("x"), None) for i in (1, 2, 99)], TRIPLE)
+    members = {EX + "r": m, EX + "l": triple_member(left)}
+    assert ask(spark, members, f"SELECT ?n WHERE {{ SERVICE ex:l {{ ?c ex:seen ?x }} SERVICE ex:r {{ ?c <{SX}c_name> ?n }} }}") == [("C1",), ("C2",)]
+
+
+def test_silent_services(spark, tmp_path):
+    left = spark.createDataFrame([(f"{SX}customer/1", EX + "seen", iri("x"), None)], TRIPLE)
+    members = {EX + "r": stubbed(spark, tmp_path, "#fail"), EX + "l": triple_member(left)}
+    body = f"SELECT ?c ?n WHERE {{{{ SERVICE ex:l {{{{ ?c ex:seen ?x }}}} SERVICE {{}} ex:r {{{{ ?c <{SX}c_name> ?n }}}} }}}}"
+    assert ask(spark, members, body.format("SILENT")) == [(SX + "customer/1", None)]
+    with pytest.raises(Exception, match="fail"):
+        ask(spark, members, body.format(""))
+
+
+def test_requests_are_sent_again(monkeypatch):
+    from graphloom.sources import remote
+
+    sent = []
+
+    class Answer(io.BytesIO):
+        def __enter__(self):
+            return self
+
+    def urlopen(request, timeout):
+        sent.append(request)
+        if len(sent) < 3:
+            raise urllib.error.URLError("busy")
+        return Answer(b"{}")
+
+    monkeypatch.setattr(remote.urllib.request, "urlopen", urlopen)
+    monkeypatch.setattr(remote, "PAUSE", 0.0)
+    assert remote.ask("http://x/", "ASK {}") == {} and len(sent) == 3
+
+
+def test_patterns_are_written_as_they_are_read():
+    from graphloom.sparql import writer
+    from graphloom.sparql.parser import parse
+
+    for text in (
+        '?s <x:p> ?o ; <x:q> "a\\"b"@en FILTER(?o > 3 || !(BOUND(?s)) && REGEX(?o, "x") || ?o IN (1, 2))',
+        "?s (<x:p>/^<x:q>|<x:r>)* ?o . ?o !(<x:a>|^<x:b>) ?z OPTIONAL { ?o <x:p> ?w FILTER(?w < -1) } MINUS { ?s <x:q> 5 }",
+        "{ ?s <x:p> ?o } UNION { ?o <x:p> ?s } VALUES (?s ?z) { (<x:a> UNDEF) } BIND(STRLEN(?s) + 1 AS ?n) GRAPH ?g { ?s ?p ?n } FILTER NOT EXISTS { ?s <x:z> ?q }",
+        "{ SELECT DISTINCT ?s WHERE { ?s <x:p> ?o } } ?s a <x:C>",
+    ):
+        once = writer.pattern(parse(f"SELECT * WHERE {{ {text} }}").body.child)
+        assert writer.pattern(parse(f"SELECT * WHERE {{ {once} }}").body.child) == once
