@@ -336,14 +336,17 @@ def head_words(counts: DataFrame, most: int = HEAD) -> tuple[DataFrame, DataFram
     for key, order in ((step, "desc"), (F.col("c"), "desc"), (tie, "asc")):
         classes = counts.filter(inside).groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
         # few rows: some 500 eighths, the counts within one of them, _TIES hashes
+        last, cut = None, None
         for r in sorted(classes.collect(), key=lambda r: -r["key"] if order == "desc" else r["key"]):
             if r["n"] > room:
-                inside = inside & (key == F.lit(r["key"]))
+                cut = r["key"]
                 break
-            room -= r["n"]
-            head = head | (inside & (key >= F.lit(r["key"]) if order == "desc" else key <= F.lit(r["key"])))
-        else:
+            room, last = room - r["n"], r["key"]
+        if last is not None:
+            head = head | (inside & (key >= F.lit(last) if order == "desc" else key <= F.lit(last)))
+        if cut is None:
             break
+        inside = inside & (key == F.lit(cut))
     return counts.filter(head), counts.filter(~head)
 
 
