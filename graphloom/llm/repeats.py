@@ -173,9 +173,10 @@ def hot_grams(keyed: DataFrame) -> np.ndarray:
 
     Which they are decides only where their rows are compared, not what is found.
     """
-    counts = keyed.mapInArrow(_frequent, "gram long, rows long").groupBy("gram").agg(F.sum("rows").alias("rows"))
+    counts = written(keyed.mapInArrow(_frequent, "gram long, rows long").groupBy("gram").agg(F.sum("rows").alias("rows")), "frequent")
     total = counts.filter("gram is null").agg(F.max("rows")).first()[0] or 0
     rows = counts.filter("gram is not null").filter(F.col("rows") * HOT > total).orderBy(F.desc("rows")).limit(HOT).collect()
+    discard(counts)
     return np.sort(np.array([r["gram"] for r in rows], np.int64))
 
 
