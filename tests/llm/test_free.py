@@ -299,6 +299,20 @@ def test_pieces_equal_the_library(spark):
     assert pieces.encode_documents(docs_of(spark, []), model).count() == 0
 
 
+@pytest.mark.parametrize("block", [40, 4 << 20])
+def test_one_table_for_all_tasks_gives_the_same_rows(spark, monkeypatch, block):
+    pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(pieces, "BLOCK", block)
+    rng = random.Random(4)
+    parts = [" ", "  ", "▁", "the", "\n", "é", "\U0001f600", "\x00", ".", "日本", "<s>", "x" * 90, "ﬁ"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 15))) for _ in range(150)] + [None, "", " ", "long " * 5000, "y" * 9000]
+    model = pieces.default_model()
+    for docs in (docs_of(spark, texts).union(docs_of(spark, texts[:20])).repartition(3), docs_of(spark, [])):
+        table, plain = pieces.encoded_by_table(docs, model), pieces.encode_documents(docs, model)
+        assert table.schema == plain.schema
+        assert sorted(map(str, table.collect())) == sorted(map(str, plain.collect()))
+
+
 def test_table_is_emptied_when_full(monkeypatch):
     pytest.importorskip("public_tokenizers")
     table = pieces.ChunkTable(pieces.default_model())
