@@ -8,12 +8,15 @@ import urllib.parse
 import urllib.request
 from xml.etree import ElementTree
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom import cli, results
 from graphloom.engine import Engine
 from graphloom.functions import terms as T
+from graphloom.functions.terms import Term
+from graphloom.operators import relation as R
 from graphloom.operators.lower import Lowering
 from graphloom.plans import algebra as A
 from graphloom.sources import catalog, graphql, mapping, property_graph, uris
@@ -456,3 +459,33 @@ def test_patterns_are_written_as_they_are_read():
     ):
         once = writer.pattern(parse(f"SELECT * WHERE {{ {text} }}").body.child)
         assert writer.pattern(parse(f"SELECT * WHERE {{ {once} }}").body.child) == once
+
+
+def test_a_stub_starts_from_the_bindings_that_a_filter_lists(spark, tmp_path, monkeypatch):
+    from graphloom.sources import remote, stub
+
+    m = stubbed(spark, tmp_path, "", "filter")
+    asked, plain = [], stub._value
+    monkeypatch.setattr(stub, "_value", lambda e, row: (asked.append(e), plain(e, row))[1])
+    made = remote.Requests(A.Bgp((A.Triple(A.Var("c"), A.Iri(SX + "c_name"), A.Var("n")),)), ["c", "n"], ["c"], "filter")
+    rows = [[{"k": 2, "v": f"{SX}customer/{i}", "dt": "", "lang": ""}] for i in (3, 7, 7, 99)]
+    got = made.read(stub.answered(m.endpoint, made.text(rows)), rows)
+    assert [n["v"] for _, n in got] == ["C3", "C7"] and not asked  # before: each condition for each of the 80 customers
+
+
+def test_a_stub_keeps_columns_and_makes_the_rows_of_a_page_only(spark, tmp_path, monkeypatch):
+    from graphloom.sources import stub
+
+    m = stubbed(spark, tmp_path)
+    made, plain = [], stub._literal
+    monkeypatch.setattr(stub, "_literal", lambda v: (made.append(v), plain(v))[1])
+    monkeypatch.setattr(stub, "PER_PAGE", 10)
+    page = stub.page_of(m.endpoint + "?" + urllib.parse.urlencode({"predicate": SX + "c_name", "page": 3}))
+    assert [x.split('"')[1] for x in page.split("\n")[:10]] == [f"C{i}" for i in range(30, 40)] and "totalItems> 80" in page and "page=4" in page
+    assert len(made) == 10  # before: a term for each value of each column
+    one = stub.answered(m.endpoint, f"SELECT ?n WHERE {{ VALUES (?c) {{ (<{SX}customer/5>) (<{SX}customer/05>) }} ?c <{SX}c_name> ?n }}")
+    assert [b["n"]["value"] for b in one["results"]["bindings"]] == ["C5"] and len(made) == 11
+    by_value = stub.answered(m.endpoint, f'SELECT ?c WHERE {{ ?c <{SX}c_acctbal> "700.0"^^<{A.XSD}double> }}')
+    assert [b["c"]["value"] for b in by_value["results"]["bindings"]] == [f"{SX}customer/7"]
+    linked = stub.answered(m.endpoint, f"SELECT ?c WHERE {{ ?c <{SX}c_nation> <{SX}nation/2> }}")
+    assert [b["c"]["value"] for b in linked["results"]["bindings"]] == [f"{SX}customer/{i}" for i in range(2, 80, 4)]
