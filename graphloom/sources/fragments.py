@@ -21,7 +21,7 @@ from graphloom.functions.terms import Term
 from graphloom.operators import relation as R
 from graphloom.plans import algebra as A
 from graphloom.sources import turtle
-from graphloom.sources.remote import BATCH, written_term
+from graphloom.sources.remote import BATCH, PAGE, PARALLEL, written_term
 from graphloom.sources.views import Member
 
 _NEXT = ("http://www.w3.org/ns/hydra/core#next", "http://www.w3.org/ns/hydra/core#nextPage")
@@ -82,13 +82,16 @@ def _cell(x) -> dict:
 
 
 class FragmentMember(Member):
-    """A fragment server. bindings: whether it takes bindings with a pattern."""
+    """A fragment server. bindings: whether it takes bindings with a pattern.
+
+    parallel: tasks that ask the server with bindings at a time, each one request after the other.
+    """
 
     single = True
 
-    def __init__(self, base: str, bindings: bool = False, get: Callable[[str], str] = fetch, vocabulary=None):
+    def __init__(self, base: str, bindings: bool = False, get: Callable[[str], str] = fetch, vocabulary=None, parallel: int = PARALLEL):
         super().__init__([], vocabulary)
-        self.base, self.bindings, self.get = base, bindings, get
+        self.base, self.bindings, self.get, self.parallel = base, bindings, get, parallel
         for name in [m for m in sys.modules if m.startswith("graphloom.")] + [getattr(get, "__module__", "__main__")]:
             if name in sys.modules and name != "__main__":  # executors need not have the modules
                 cloudpickle.register_pickle_by_value(sys.modules[name])
@@ -120,24 +123,31 @@ class FragmentMember(Member):
         keys = left.df.select(*[T.dynamic(left.term(v)).alias(f"k{i}") for i, v in enumerate(shared)]).distinct()
         for i in range(len(shared)):
             keys = keys.filter(F.col(f"k{i}.k") != T.BNODE)
-        return self._read(keys, _reader(self.base, triples[0], self.get, variables, shared), variables)
+        return self._read(keys.repartition(self.parallel), _reader(self.base, triples[0], self.get, variables, shared), variables)
 
 
 def _reader(base: str, t: A.Triple, get: Callable[[str], str], variables: list[str], shared: list[str] | None = None):
     columns = [R.column_name(v) for v in variables] or ["unit"]
 
-    def frames(values: str | None = None):
-        for found in pages(base, t, get, values):
-            yield pd.DataFrame([[_cell(b[v]) for v in variables] or [True] for b in found], columns=columns)
-
-    def run(batches):
+    def asked(batches):
+        """The bindings on each page."""
         for b in batches:
             if shared is None:
-                yield from frames()
+                yield from pages(base, t, get)
                 continue
             records = b.to_dict("records")
             for i in range(0, len(records), BATCH):
                 rows = " ".join("(" + " ".join(written_term(r[c]) for c in b.columns) + ")" for r in records[i : i + BATCH])
-                yield from frames(f"({' '.join('?' + v for v in shared)}) {{ {rows} }}")
+                yield from pages(base, t, get, f"({' '.join('?' + v for v in shared)}) {{ {rows} }}")
+
+    def run(batches):
+        held: list[list] = []  # pages are small, and each frame costs its own conversion
+        for found in asked(batches):
+            held += [[_cell(b[v]) for v in variables] or [True] for b in found]
+            if len(held) >= PAGE:
+                yield pd.DataFrame(held, columns=columns)
+                held = []
+        if held:
+            yield pd.DataFrame(held, columns=columns)
 
     return run

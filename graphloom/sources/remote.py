@@ -234,10 +234,16 @@ class RemoteMember(Member):
         endpoint, request, columns = self.endpoint, self.request, [R.column_name(v) for v in variables]
 
         def run(batches):
+            held: list[list] = []  # answers are small, and each frame costs its own conversion
             for b in batches:
                 rows = [list(r) for r in b.itertuples(index=False, name=None)]
                 for found in made.answered(lambda text: request(endpoint, text), rows, silent):
-                    yield pd.DataFrame(found, columns=columns)
+                    held += found
+                    if len(held) >= PAGE:
+                        yield pd.DataFrame(held, columns=columns)
+                        held = []
+            if held:
+                yield pd.DataFrame(held, columns=columns)
 
         certain = set(shared) | (set() if silent else A.certain(body))
         return self._read(keys.repartition(self.parallel), run, variables, certain)

@@ -489,3 +489,22 @@ def test_a_stub_keeps_columns_and_makes_the_rows_of_a_page_only(spark, tmp_path,
     assert [b["c"]["value"] for b in by_value["results"]["bindings"]] == [f"{SX}customer/7"]
     linked = stub.answered(m.endpoint, f"SELECT ?c WHERE {{ ?c <{SX}c_nation> <{SX}nation/2> }}")
     assert [b["c"]["value"] for b in linked["results"]["bindings"]] == [f"{SX}customer/{i}" for i in range(2, 80, 4)]
+
+
+def test_small_answers_share_a_frame(spark, tmp_path, monkeypatch):
+    """A frame has its own conversion, which one for each binding would pay."""
+    from graphloom.sources import fragments, remote, stub
+
+    runs = []
+    for kind in (remote.RemoteMember, fragments.FragmentMember):
+        monkeypatch.setattr(kind, "_read", lambda self, source, run, *rest: runs.append(run))
+    m = stubbed(spark, tmp_path, "", "nested")
+    left = R.made(spark.range(60).select(F.concat(F.lit(f"{SX}customer/"), "id").alias("c")), {"c": Term(T.PLAIN_IRI, F.col("c"))}, {"c"})
+    t = (A.Triple(A.Var("c"), A.Iri(SX + "c_name"), A.Var("n")),)
+    m.bind(left, t)
+    f = fragments.FragmentMember(m.endpoint, True, stub.fragment)
+    f.bind(left, t)
+    keys = pd.DataFrame({"k0": [{"k": 2, "v": f"{SX}customer/{i}", "dt": "", "lang": ""} for i in range(60)]})
+    for run in runs:
+        frames = list(run([keys]))
+        assert len(frames) == 1 and sorted(x["v"] for x in frames[0].iloc[:, 1]) == sorted(f"C{i}" for i in range(60))
