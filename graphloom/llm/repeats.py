@@ -27,7 +27,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import discard, release, slices, with_group, written
+from graphloom.llm.common import discard, release, salt_of, slices, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -347,6 +347,20 @@ def _cut(batches):
         )
 
 
+def all_but_first(open_: DataFrame) -> DataFrame:
+    """place, row of all rows of (ranks, place, row) but the first place of each rank pair (which may repeat).
+
+    A rank pair's rows are dealt to salted cells. Whatever is not the first of its cell is none of its pair either;
+    the firsts of the cells, as many as there are salts at most, then meet by pair. Nothing is joined.
+    """
+    least = lambda *keys: F.min("place").over(Window.partitionBy(*keys))
+    cells = open_.withColumn("_salt", salt_of(F.col("row")))
+    cells = cells.withColumn("lead", least("ranks", "_salt"))
+    firsts = cells.filter(F.col("place") == F.col("lead")).select("ranks", "place", "row").withColumn("lead", least("ranks"))
+    later = cells.select("place", "row", "lead").unionByName(firsts.select("place", "row", "lead"))
+    return later.filter(F.col("place") > F.col("lead")).drop("lead")
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of begin, end) for each row of (doc_id, text).
 
@@ -392,7 +406,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     discard(edges)
     release(docs)
     open_ = windows.filter("not removed").select(F.struct("left", "right").alias("ranks"), place.alias("place"), F.xxhash64("id", "tag", "first").alias("row"))
-    spread = with_group(open_, "ranks", "row", {"lead": ("min", "place")}).filter(F.col("place") > F.col("lead")).select("place.*")
+    spread = all_but_first(open_).select("place.*")
     spread = spread.withColumn("last", F.col("first")).unionByName(windows.filter("removed").select("id", "tag", "first", "last"))
     spread = written(spread, "spread")
     discard(windows)

@@ -543,3 +543,13 @@ def test_top_k_beyond_doubles():
     big = 2**28
     a, b, c, _ = topk.cell_top(np.array([[big, 1]]), np.array([0]), np.array([[big, 1], [big, 2], [big, 3]]), np.array([0, 1, 2]), 5)
     assert dict(zip(b.tolist(), c.tolist())) == {1: big * big + 2, 2: big * big + 3}
+
+
+def test_all_but_first_of_a_pair_joins_nothing(spark):
+    from graphloom.operators.scratch import written
+
+    rows = [((1, 1), (i, 0, 0), i * 31) for i in range(500)] + [((2, 1), (7, 0, 3), 5), ((3, 1), (9, 0, 1), 6), ((3, 1), (8, 0, 2), 7), ((3, 1), (8, 0, 1), 8)]
+    df = written(spark.createDataFrame(rows, "ranks struct<left:long,right:long>, place struct<id:long,tag:long,first:int>, row long"), "open")
+    out = repeats.all_but_first(df)
+    assert sorted(tuple(r["place"]) for r in out.collect()) == sorted([(i, 0, 0) for i in range(1, 500)] + [(9, 0, 1), (8, 0, 2)])
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
