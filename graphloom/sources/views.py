@@ -115,12 +115,22 @@ def _wide(t: A.Triple, views: list[View]) -> list[R.Rel]:
     return out
 
 
-def ordered_join(parts: list[R.Rel]) -> R.Rel:
-    """Joins relations, each with one that shares a variable with those before it, if there is one."""
-    left, out = parts[1:], parts[0]
+def ordered_join(parts: list[R.Rel], keys: list[str | None] | None = None) -> R.Rel:
+    """Joins relations, each with one that shares a variable with those before it, if there is one.
+
+    keys: the variable that tells a part's rows apart. A part that is joined by its own key, or by that of what there
+    is so far, goes first: then rows do not multiply.
+    """
+    left = list(zip(parts, keys or [None] * len(parts), strict=True))
+    out, key = left.pop(0)
     while left:
-        i = next((i for i, r in enumerate(left) if set(r.descs) & set(out.descs)), 0)
-        out = R.join(out, left.pop(i))
+        shared = [set(r.descs) & set(out.descs) for r, _ in left]
+        safe = lambda i: left[i][1] in shared[i] or key in shared[i]  # noqa: B023, E731
+        i = next((i for i in range(len(left)) if safe(i)), next((i for i, s in enumerate(shared) if s), 0))
+        r, own = left.pop(i)
+        # rows of `out` find one partner at most, or rows of r do, or neither
+        key = key if own in shared[i] else own if key in shared[i] else None
+        out = R.join(out, r)
     return out
 
 
@@ -142,6 +152,7 @@ class Member:
         variables = set().union(*[t.variables() for t in triples])
         stars: dict = {}
         parts: list[R.Rel] = []
+        keys: list[str | None] = []
         for t in triples:
             views = self.matching(t)
             if not views:
@@ -153,12 +164,14 @@ class Member:
             if not found:
                 return R.nothing(spark, variables)
             parts.append(R.union(found))
+            keys.append(None)
         for pairs in stars.values():
             r = _scan(pairs)
             if r is None:
                 return R.nothing(spark, variables)
             parts.insert(0, r)
-        return ordered_join(parts)
+            keys.insert(0, s.name if isinstance(s := pairs[0][0].s, A.Var) else None)
+        return ordered_join(parts, keys)
 
     def cardinality(self, spark: SparkSession, triples: tuple[A.Triple, ...]) -> int:
         return self.evaluate(spark, triples).df.count()

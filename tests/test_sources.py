@@ -508,3 +508,24 @@ def test_small_answers_share_a_frame(spark, tmp_path, monkeypatch):
     for run in runs:
         frames = list(run([keys]))
         assert len(frames) == 1 and sorted(x["v"] for x in frames[0].iloc[:, 1]) == sorted(f"C{i}" for i in range(60))
+
+
+def test_joins_of_one_member_go_by_keys(spark, monkeypatch):
+    """Customers and suppliers of one nation meet through orders, not all with all."""
+    tables = {
+        "n": spark.createDataFrame([(1,)], "k long"),
+        "s": spark.createDataFrame([(i, 1) for i in range(30)], "k long, n long"),
+        "c": spark.createDataFrame([(i, 1) for i in range(30)], "k long, n long"),
+        "o": spark.createDataFrame([(i, i, 29 - i) for i in range(30)], "k long, c long, s long"),
+    }
+    links = {"n": {}, "s": {"n": (EX + "s_n", "n")}, "c": {"n": (EX + "c_n", "n")}, "o": {"c": (EX + "o_c", "c"), "s": (EX + "o_s", "s")}}
+    m = table_member(spark, tables, [TableSpec(t, "k", {"k": f"{EX}{t}_k"}, links[t]) for t in tables], EX)
+    e = Engine(spark, {EX + "m": m}, default=(EX + "m",))
+    text = f"PREFIX ex: <{EX}> SELECT ?o WHERE {{ ?o ex:o_c ?c ; ex:o_s ?s . ?c ex:c_n ?n . ?s ex:s_n ?n . ?n ex:n_k ?k }}"
+    assert e.select(text).count() == 30
+    order = []
+    plain = R.join
+    monkeypatch.setattr(R, "join", lambda a, b, *more: (order.append((set(a.descs), set(b.descs))), plain(a, b, *more))[1])
+    e.select(text)
+    # each join has all of a key of one side: before, suppliers met customers by nation alone
+    assert [sorted(a & b) for a, b in order] == [["n"], ["s"], ["c", "n"]]
