@@ -35,6 +35,8 @@ HASHES = ROWS * BANDS
 STEP, TOLERANCE = 16, 1e-6
 #: Documents of a block, and their shingles (8 bytes each), about; a cell holds two blocks at most.
 BLOCK, BLOCK_SHINGLES = 512, 4_000_000
+#: Pairs of a cell whose signatures are compared at a time, and shingles of partners that are looked up at a time.
+PAIRS, SHINGLES = 16384, 500_000
 
 
 def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
@@ -137,6 +139,20 @@ def _pairs(block: np.ndarray, diagonal: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(a, len(b)), np.tile(b, len(a))
 
 
+def _alike(sig: np.ndarray, i: np.ndarray, j: np.ndarray, band: int, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Those of some pairs of rows that no look at the posterior drops, and that share no band before this one."""
+    matches = np.zeros(len(i), np.int64)
+    for n in range(0, HASHES, STEP):
+        matches += (sig[i, n : n + STEP] == sig[j, n : n + STEP]).sum(axis=1)
+        on = matches >= least[n + STEP]
+        i, j, matches = i[on], j[on], matches[on]
+    if not len(i):
+        return i, j
+    shared = (sig[i] == sig[j]).reshape(len(i), BANDS, ROWS).all(axis=2)
+    on = shared.argmax(axis=1) == band
+    return i[on], j[on]
+
+
 def _survivors(batches):
     least = fewest_matches()
     for cell in _groups(batches, "cell"):
@@ -145,16 +161,9 @@ def _survivors(batches):
         uid = cell.column("uid").to_numpy()
         sig = np.frombuffer(b"".join(cell.column("sig").to_pylist()), np.uint32).reshape(len(uid), HASHES)
         i, j = _pairs(cell.column("block").to_numpy(), cell.column("diagonal")[0].as_py())
-        matches = np.zeros(len(i), np.int64)
-        for n in range(0, HASHES, STEP):
-            matches += (sig[i, n : n + STEP] == sig[j, n : n + STEP]).sum(axis=1)
-            on = matches >= least[n + STEP]
-            i, j, matches = i[on], j[on], matches[on]
-        if not len(i):
-            continue
-        shared = (sig[i] == sig[j]).reshape(len(i), BANDS, ROWS).all(axis=2)
-        on = shared.argmax(axis=1) == cell.column("band")[0].as_py()
-        i, j = i[on], j[on]
+        band = cell.column("band")[0].as_py()
+        found = [_alike(sig, i[n : n + PAIRS], j[n : n + PAIRS], band, least) for n in range(0, len(i), PAIRS)]
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (i, j)
         if not len(i):
             continue
         order = np.argsort(i, kind="stable")
@@ -171,6 +180,14 @@ def _shingled(batches):
         yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("size"), pa.array(sets, pa.binary())], ["uid", "size", "found"])
 
 
+def _common(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each of some sets has in common with one."""
+    sizes = np.array([len(x) for x in others])
+    everything = np.concatenate(others)
+    where = np.minimum(np.searchsorted(one, everything), len(one) - 1)
+    return np.add.reduceat(one[where] == everything, np.cumsum(sizes) - sizes, dtype=np.int64)
+
+
 def _verified(batches):
     for cell in _groups(batches, "cell"):
         uid, size = cell.column("uid").to_numpy(), cell.column("size").to_numpy()
@@ -190,9 +207,8 @@ def _verified(batches):
                 continue
             at = np.array([place[p] for p in partners])
             sizes = np.array([len(sets[j]) for j in at])
-            everything = np.concatenate([sets[j] for j in at])
-            where = np.minimum(np.searchsorted(sets[i], everything), len(sets[i]) - 1)
-            inside = np.add.reduceat(sets[i][where] == everything, np.cumsum(sizes) - sizes)
+            runs = np.split(at, np.flatnonzero(np.diff(np.cumsum(sizes) // SHINGLES)) + 1)
+            inside = np.concatenate([_common(sets[i], [sets[j] for j in run]) for run in runs])
             # >= THRESHOLD in whole numbers, free of rounding
             for j in at[inside * 10 >= round(THRESHOLD * 10) * (len(sets[i]) + sizes - inside)]:
                 links[i] += size[j]

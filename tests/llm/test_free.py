@@ -545,6 +545,26 @@ def test_top_k_beyond_doubles():
     assert dict(zip(b.tolist(), c.tolist())) == {1: big * big + 2, 2: big * big + 3}
 
 
+def test_cells_of_near_copies_stay_small():
+    """All pairs of two full blocks survive: their signatures are compared some at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n = 2 * jaccard.BLOCK
+    sig = np.tile(np.arange(jaccard.HASHES, dtype=np.uint32), (n, 1))
+    sig[:, -1] = np.arange(n)  # the last band differs
+    columns = {"cell": np.full(n, 5), "band": np.zeros(n, np.int32), "block": np.arange(n, dtype=np.int32) % 2, "diagonal": np.zeros(n, bool), "uid": np.arange(n), "sig": [x.tobytes() for x in sig]}
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], list(columns))
+    tracemalloc.start()
+    (out,) = jaccard._survivors([batch])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    partners = dict(zip(out.column("uid").to_pylist(), out.column("partners").to_pylist()))
+    assert all(sorted(partners[u]) == list(range(1, n, 2)) for u in range(0, n, 2)) and not any(partners[u] for u in range(1, n, 2))
+    assert peak < 100e6  # before: over 300 MB
+
+
 def test_all_but_first_of_a_pair_joins_nothing(spark):
     from graphloom.operators.scratch import written
 
